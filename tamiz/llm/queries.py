@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.text import trim_to_word, words
-from tamiz.llm import canonical, frequency, leaks, mixing, repetition
-from tamiz.operators.skew import join_lookup  # noqa: F401
+from tamiz.llm import canonical, frequency, leaks, mixing, products, repetition
 from tamiz.session import materialize, scratch_path
 from tamiz.sources.tables import table
 
@@ -71,6 +70,17 @@ SELECT id, concat(trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'))
 FROM catalog_docs WHERE regexp_matches(title, '[\p{L}\p{N}]') AND regexp_matches(description, '[\p{L}\p{N}]')
 """
 
+# p6 ---------------------------------------------------------------------
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return products.group_products(table(spark, d, "item_listings"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return products.pairs(p6_groups(spark, d))
+
+
 # p7 ---------------------------------------------------------------------
 
 
@@ -136,6 +146,7 @@ def p9_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_records": p3_records,
+    "p6_found": p6_found, "p6_groups": p6_groups,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_report": p8_report,
     "p9_method": p9_method, "p9_found": p9_found, "p9_counts": p9_counts,
 }
