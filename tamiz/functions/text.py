@@ -32,3 +32,58 @@ def words(col: Column) -> Column:
 def trim_to_word(col: Column) -> Column:
     """Lower case, without what stands before the first and after the last letter or digit."""
     return F.regexp_replace(F.lower(col), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+# tokenizer of the index --------------------------------------------------
+
+_W = r"\p{L}\p{N}\p{M}_"
+#: Unicode words: letters joined by one inner mark, numbers by one inner separator; no look-around, so that other engines take it too.
+TOKEN = rf"(?:[{_W}]*(?:\p{{L}}(?:[.:·'’]\p{{L}})+|\p{{Nd}}(?:[.,;'’]\p{{Nd}})+))+[{_W}]*|[{_W}]+"
+TOKEN_TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def tokenize(col: Column) -> Column:
+    """Words with at least one letter or digit, trimmed to these; an empty array for null."""
+    found = F.regexp_extract_all(col, F.lit(f"({TOKEN})"), F.lit(1))
+    return F.coalesce(F.filter(F.transform(found, lambda t: F.regexp_replace(t, TOKEN_TRIM, "")), lambda t: t != ""), F.array().cast("array<string>"))
+
+
+def keyword_tokens(col: Column) -> Column:
+    """The whole text as one token; none for empty text or null."""
+    return F.when(F.length(col) > 0, F.array(col)).otherwise(F.array().cast("array<string>"))
+
+
+def lower_tokens(tokens: Column) -> Column:
+    return F.transform(tokens, F.lower)
+
+
+def tokenize_python(text: str) -> list[str]:
+    """The same words on the driver, for query strings."""
+    import regex
+
+    return [t for t in (regex.sub(TOKEN_TRIM, "", m) for m in regex.findall(f"({TOKEN})", text)) if t]
+
+
+def token_offsets(col: Column) -> Column:
+    """``array<struct<text, start, end, position>>`` with byte offsets (OP-34); an Arrow function, since no built-in has offsets."""
+    import pandas as pd
+
+    @F.pandas_udf("array<struct<text:string,start:int,end:int,position:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        import regex
+
+        pattern, trim = regex.compile(TOKEN), regex.compile(TOKEN_TRIM)
+
+        def one(text: str | None) -> list[dict]:
+            out: list[dict] = []
+            for m in pattern.finditer(text or ""):
+                word = trim.sub("", m.group())
+                if word:
+                    at = m.start() + m.group().index(word)
+                    start = len(text[:at].encode())
+                    out.append({"text": word, "start": start, "end": start + len(word.encode()), "position": len(out)})
+            return out
+
+        return texts.map(one)
+
+    return run(col)
