@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +67,6 @@ def tokenize_python(text: str) -> list[str]:
 
 def token_offsets(col: Column) -> Column:
     """``array<struct<text, start, end, position>>`` with byte offsets (OP-34); an Arrow function, since no built-in has offsets."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<text:string,start:int,end:int,position:int>>")
     def run(texts: pd.Series) -> pd.Series:
         import regex

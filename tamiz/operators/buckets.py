@@ -3,19 +3,20 @@
 A commit reads only the buckets that its batch touches, merges the batch into
 them, writes replacement files into a folder of its own and then publishes a
 manifest that names, for every bucket, the folder that holds it.  Readers that
-hold an older manifest keep a consistent view.  Publishing creates the manifest
-file under a name that must not exist, so of two writers only one succeeds.
+hold an older manifest keep a consistent view.  Of two writers that started
+from one version, the second fails.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamiz.operators.manifest import Manifests, fresh
+
 Merge = Callable[[DataFrame, list[str]], DataFrame]
 
 
@@ -29,39 +30,16 @@ class BucketTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], merge: Merge, buckets: int = 32):
         self.spark, self.path, self.schema, self.keys, self.merge, self.buckets = spark, path, schema, keys, merge, buckets
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    # manifest -----------------------------------------------------------
-
-    def _manifest_path(self, version: int):
-        return self._hadoop.Path(f"{self.path}/_manifest/{version:010d}.json")
+        self._manifests = Manifests(spark, f"{path}/_manifest")
 
     def version(self) -> int:
-        """Of the newest manifest; 0 if the table is empty."""
-        root = self._hadoop.Path(f"{self.path}/_manifest")
-        if not self._fs.exists(root):
-            return 0
-        return max((int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(root) if s.getPath().getName().endswith(".json")), default=0)
+        """0 if the table is empty."""
+        return self._manifests.latest()[0]
 
     def manifest(self, version: int | None = None) -> dict[int, str]:
         """Bucket to folder."""
-        version = self.version() if version is None else version
-        if version == 0:
-            return {}
-        stream = self._fs.open(self._manifest_path(version))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return {int(k): v for k, v in json.loads(text)["buckets"].items()}
-
-    def _publish(self, version: int, buckets: dict[int, str]) -> None:
-        stream = self._fs.create(self._manifest_path(version), False)
-        try:
-            stream.write(bytearray(json.dumps({"version": version, "buckets": buckets}).encode()))
-        finally:
-            stream.close()
+        held = self._manifests.latest()[1] if version is None else self._manifests.read(version)
+        return {int(k): v for k, v in (held or {}).items()}
 
     # rows ---------------------------------------------------------------
 
@@ -76,17 +54,16 @@ class BucketTable:
 
     def commit(self, batch: DataFrame) -> int:
         """Merge ``batch``, which has the columns of the table, and return the new version."""
-        base = self.version()
-        held = self.manifest(base)
+        base, held = self._manifests.latest()
+        held = {int(k): v for k, v in (held or {}).items()}
         batch = batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
         touched = {r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # at most self.buckets
         if not touched:
             return base
         rows = batch if not (touched & held.keys()) else self.read(base, touched).unionByName(batch)
         merged = self.merge(rows.withColumn("_bucket", self._bucket()), ["_bucket", *self.keys])
-        folder = f"data/{base + 1:010d}"
+        folder = fresh(f"data/{base + 1:010d}")
         parts = max(1, min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        merged.repartition(parts, "_bucket").sortWithinPartitions("_bucket", *self.keys).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        merged.repartition(parts, "_bucket").sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         held |= {b: f"{folder}/_bucket={b}" for b in touched}
-        self._publish(base + 1, held)
-        return base + 1
+        return self._manifests.publish(base, held)

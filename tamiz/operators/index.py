@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tamiz.functions.stemmers import stem_column
 from tamiz.functions.text import keyword_tokens, lower_tokens, tokenize
 from tamiz.schema import DOCUMENT, FieldConfig, IndexSchema
+from tamiz.session import spread
 
 HEAD = 3
 
@@ -28,7 +29,9 @@ def analyze_column(col: Column, field: FieldConfig) -> Column:
 def field_tokens(docs: DataFrame, field: FieldConfig) -> DataFrame:
     """``id, field, dl, pos, term``; stemmed by a join with the stems of the distinct terms."""
     rows = docs.select("id", F.lit(field.name).alias("field"), analyze_column(F.col(field.name), field).alias("terms"))
-    flat = rows.select("id", "field", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    # the length is taken below the explode, which would else carry the whole array along with each of its terms
+    sized = rows.select("id", "field", F.size("terms").alias("dl"), "terms")
+    flat = sized.select("id", "field", "dl", F.posexplode("terms").alias("pos", "term"))
     if field.analyzer.kind == "keyword" or not field.analyzer.language:
         return flat
     stems = flat.select("term").distinct().withColumn("stem", stem_column(field.analyzer.language.value)("term"))
@@ -107,5 +110,5 @@ def live(docs: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
 
 def build(docs: DataFrame, schema: IndexSchema, tombstones: DataFrame | None = None) -> Index:
     docs = live(docs.select(*(F.col(f.name) for f in DOCUMENT)), tombstones)
-    p = postings(tokens(docs, schema))
+    p = postings(tokens(spread(docs), schema))
     return Index(schema, docs, p, vocabulary(p), field_statistics(p, docs, schema), columns(docs, schema))

@@ -211,8 +211,8 @@ class Searcher:
 
     def search(self, request: SearchRequest) -> SearchResult:
         request = request.validated()
-        held = self.cache.get(request) if self.cache else None
-        if held:
+        held = self.cache.get(request) if self.cache is not None else None
+        if held is not None:
             return self._page(replace(held, cache_hit=True), request)
         matched, mode = match(self.index, request)
         ordered = order_hits(self.index, matched, request)
@@ -232,7 +232,7 @@ class Searcher:
             ordered = self.availability.apply(ordered, self.index.documents, request.destination_zone)
             ordered = ordered.orderBy("rank") if "rank" in ordered.columns else order_hits(self.index, ordered.select("id", "score"), request)
         result = SearchResult(ordered, facets(matched, self.index.columns, self.index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, reranked)
-        if self.cache:
+        if self.cache is not None:
             spark = self.index.documents.sparkSession
             bounded = ordered.limit(max(self.pool * self.availability.multiplier, request.offset + request.limit))
             order = [c for c in ("sort_value", "rank") if c in bounded.columns]

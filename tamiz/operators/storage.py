@@ -11,7 +11,6 @@ The store may also be split by shard: ``shard_of`` gives the shard of an id.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamiz.functions.routing import shard_of
+from tamiz.operators.manifest import Manifests, fresh
 from tamiz.schema import DOCUMENT
 
 OPERATION = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("id", T.LongType()), T.StructField("doc", DOCUMENT)])
@@ -28,7 +28,6 @@ ROW_OVERHEAD, BUFFER_BYTES = 64, 64 << 20
 
 @dataclass
 class Manifest:
-    version: int = 0
     next_seq: int = 0
     next_part: int = 0
     segments: dict[str, int] = field(default_factory=dict)  # folder -> rows
@@ -62,32 +61,13 @@ def merges(segments: dict[str, int], least: int = 3, most: int = 10) -> list[str
 class Store:
     def __init__(self, spark: SparkSession, path: str, buffer_bytes: int = BUFFER_BYTES):
         self.spark, self.path, self.buffer_bytes = spark, path, buffer_bytes
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.manifest = self._load()
-
-    # manifest: one file a version; the newest counts, and creating one fails if it exists
-
-    def _load(self) -> Manifest:
-        root = self._hadoop.Path(f"{self.path}/manifest")
-        if not self._fs.exists(root):
-            return Manifest()
-        newest = max((s.getPath().getName() for s in self._fs.listStatus(root) if s.getPath().getName().endswith(".json")), default=None)
-        if newest is None:
-            return Manifest()
-        stream = self._fs.open(self._hadoop.Path(f"{self.path}/manifest/{newest}"))
-        try:
-            return Manifest(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        self._manifests = Manifests(spark, f"{path}/manifest")
+        self.version, held = self._manifests.latest()
+        self.manifest = Manifest(**(held or {}))
 
     def _publish(self, **changes) -> None:
-        m = Manifest(**{**self.manifest.__dict__, **changes, "version": self.manifest.version + 1})
-        stream = self._fs.create(self._hadoop.Path(f"{self.path}/manifest/{m.version:010d}.json"), False)
-        try:
-            stream.write(bytearray(json.dumps(m.__dict__).encode()))
-        finally:
-            stream.close()
+        m = Manifest(**{**self.manifest.__dict__, **changes})
+        self.version = self._manifests.publish(self.version, m.__dict__)
         self.manifest = m
 
     def _read(self, folders, schema: T.StructType = OPERATION) -> DataFrame:
@@ -99,7 +79,7 @@ class Store:
     def append(self, operations: DataFrame) -> None:
         """One commit to the log; sequence numbers grow in the order of ``seq`` or ``id`` and never return, also after a flush."""
         m = self.manifest
-        part = f"oplog/{m.next_part:06d}"
+        part = fresh(f"oplog/{m.next_part:06d}")
         placed = operations.withColumn("_n", F.monotonically_increasing_id()) if "seq" not in operations.columns else operations.withColumnRenamed("seq", "_n")
         placed.select((F.col("_n") + m.next_seq).alias("seq"), "op", "id", "doc").write.parquet(f"{self.path}/{part}")
         written = self._read([part])
@@ -120,7 +100,7 @@ class Store:
         m = self.manifest
         if not m.log:
             return
-        part = f"segments/{m.next_part:06d}"
+        part = fresh(f"segments/{m.next_part:06d}")
         latest(self._read(m.log)).select(*OPERATION.names).write.parquet(f"{self.path}/{part}")
         rows = self._read([part]).count()
         self._publish(next_part=m.next_part + 1, log={}, segments={**m.segments, part: rows})
@@ -131,7 +111,7 @@ class Store:
         if len(folders) < 2:
             return
         m = self.manifest
-        part = f"segments/{m.next_part:06d}"
+        part = fresh(f"segments/{m.next_part:06d}")
         rows = latest(self._read(folders))
         if set(folders) == set(m.segments) and not m.log:
             rows = rows.filter("op = 'index'")
@@ -143,7 +123,7 @@ class Store:
         """Flush, then all live documents as one segment (OP-29, with :func:`tamiz.operators.index.build` for the tables derived); returns their number."""
         self.flush()
         m = self.manifest
-        part = f"segments/{m.next_part:06d}"
+        part = fresh(f"segments/{m.next_part:06d}")
         latest(self._read(m.segments)).filter("op = 'index'").select(*OPERATION.names).write.parquet(f"{self.path}/{part}")
         rows = self._read([part]).count()
         self._publish(next_part=m.next_part + 1, segments={part: rows})

@@ -60,3 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is a plain scan and its files make fewer parts than there are cores.
+
+    For steps that cost far more per row than moving the row does.  A plan that
+    shuffles already is left as it is.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("Adaptive"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.outputPartitioning().numPartitions() < cores and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
