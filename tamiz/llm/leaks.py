@@ -8,8 +8,8 @@ up in every document, and each hit is verified by the bit-parallel edit
 distance (Myers) of its stretch against the words around the hit.
 
 The items are the stated query set.  Their pieces go to all tasks in blocks of
-at most ``BLOCK_WORDS`` words, so what is sent is bounded however many items
-there are; every block meets all documents.
+about ``BLOCK_WORDS`` words, so what is sent is bounded however many items
+there are (a single item isn't cut); every block meets all documents.
 
 Defined results: texts are compared as words (letters and digits, lower case,
 base letters); items of fewer than ``window`` words and null texts match

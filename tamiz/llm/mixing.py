@@ -9,10 +9,11 @@ through; since a pass begins where the one before ended, no text comes a second
 time before all of its source came once.
 
 Running sums are taken over slices of the order, never over a whole source in
-one task.
+one task; the number of slices follows the number of texts.
 
 Equal texts are one text, whatever their ids; it belongs to the source of its
-smallest id, so it isn't used more than ``max_repeats`` times in the mixture.
+smallest id among the target sources, so it isn't used more than
+``max_repeats`` times in the mixture.
 Sources are compared without case and outer blanks.
 
 Without a budget, the mixture is as large as it can be with every source that
@@ -43,7 +44,8 @@ from tamiz.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern of that vocabulary, which splits a text before byte pairs merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICES = 4096
+SLICE_ROWS, MIN_SLICES = 50_000, 4096
+MAX_SOURCES = 10_000
 _HASH_BITS = 62
 
 
@@ -84,13 +86,14 @@ def sized_texts(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
         .groupBy("source")
         .agg(F.sum("target_share").alias("weight"), F.min("max_repeats").cast("int").alias("max_repeats"))
     )
+    if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\s\x{a0}]"))
-    named = usable.select("doc_id", source_key(F.col("source")).alias("source"), F.unhex(F.md5("text")).alias("_h"), "text")
+    # at most MAX_SOURCES rows are broadcast
+    named = usable.select("doc_id", source_key(F.col("source")).alias("source"), F.unhex(F.md5("text")).alias("_h"), "text").join(F.broadcast(wanted), "source")
     # equal texts: find the smallest id by hash (combined map-side), and only then fetch the text
-    first = named.groupBy("_h").agg(F.min(F.struct("doc_id", "source")).alias("x")).select("x.doc_id", "x.source")
-    # the targets are the sources asked for: as many rows as the mixture has parts
-    kept = first.join(F.broadcast(wanted), "source").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "weight", "max_repeats")
-    rows = named.join(kept, (named.doc_id == kept._id) & named.source.eqNullSafe(kept._source)).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("source").alias("source"), F.first("weight").alias("weight"), F.first("max_repeats").alias("max_repeats"))
+    kept = named.groupBy("_h").agg(F.min(F.struct("doc_id", "source")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.source").alias("_source"))
+    rows = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("source") == F.col("_source"))).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("text", "source", "weight", "max_repeats")))
     return rows.select("doc_id", "source", "weight", "max_repeats", token_counter(tokenizer)("text").alias("tokens")).filter(F.col("tokens") > 0)
 
 
@@ -99,24 +102,29 @@ def mix(texts: DataFrame, budget: int | None = None, seed: int = 7) -> tuple[Dat
 
     ``texts`` is the result of :func:`sized_texts`, materialised.
     """
-    totals = texts.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.first("weight").alias("weight"), F.first("max_repeats").alias("max_repeats"))
+    totals = texts.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("n"), F.max("tokens").alias("longest"), F.first("weight").alias("weight"), F.first("max_repeats").alias("max_repeats"))
     parts = totals.collect()  # one row a source of the mixture
-    weights = sum(r.weight for r in parts) or 1.0
+    weights = math.fsum(r.weight for r in parts) or 1.0
     if budget is None:
         budget = int(min((r.source_tokens * r.max_repeats * weights / r.weight for r in parts), default=0))
-    # the virtual time by which the budget is spent even if sources run dry; no use beyond it can be taken
+    # the virtual time by which the budget is spent even if sources run dry
     end = _spent(budget, parts)
     spark = texts.sparkSession
-    passes = [(r.source, r.source_tokens, min(r.max_repeats, max(1, math.ceil(end * r.weight / r.source_tokens)))) for r in parts]
+    # by then every text that was begun at the end of the budget is through, so no later one can be taken
+    last = end + max((r.longest for r in parts), default=0) / min((r.weight for r in parts), default=1.0)
+    passes = [(r.source, r.source_tokens, min(r.max_repeats, math.floor(last * r.weight / r.source_tokens) + 1)) for r in parts]
+    n_uses = sum(r.n * p for r, (_, _, p) in zip(parts, passes))
+    slices = 1 << max(MIN_SLICES.bit_length() - 1, math.ceil(math.log2(max(1, n_uses / SLICE_ROWS))))
     plan = F.broadcast(spark.createDataFrame(passes, "source string, source_tokens long, passes int"))
     uses = texts.join(plan, "source").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "use"), 64 - _HASH_BITS)
     uses = uses.withColumn("place", place)
-    sliced = running_sum(uses, ["source", "use"], [F.col("place"), F.col("doc_id")], F.floor(F.col("place") / F.lit(2 ** (_HASH_BITS - int(math.log2(SLICES))))), "tokens", "upto")
+    sliced = running_sum(uses, ["source", "use"], [F.col("place"), F.col("doc_id")], F.shiftright("place", _HASH_BITS - (slices.bit_length() - 1)), "tokens", "upto")
     timed = materialize(sliced.select("doc_id", "source", "use", "tokens", (((F.col("use") - 1) * F.col("source_tokens") + F.col("upto")) / F.col("weight")).alias("finish")), "finish")
-    width = max(end, 1.0) / SLICES
+    timed = timed.filter(F.col("finish") <= last)
+    width = max(end, 1.0) / slices
     order = [F.col("finish"), F.col("source"), F.col("doc_id"), F.col("use")]
-    whole = running_sum(timed, [], order, F.least(F.floor(F.col("finish") / width), F.lit(4 * SLICES)), "tokens", "mixed")
+    whole = running_sum(timed, [], order, F.floor(F.col("finish") / width), "tokens", "mixed")
     return whole.filter(F.col("mixed") <= budget).select("doc_id", "source", "use", "tokens", "finish"), budget
 
 

@@ -59,6 +59,24 @@ def test_against_a_queue_simulation(spark):
     assert [r.finish for r in out] == [r.finish for r in rows]
 
 
+def test_cut_is_where_the_running_sum_reaches_the_budget(spark):
+    docs, targets = tables(spark, corpus(120))
+    sized = materialize(mixing.sized_texts(docs, targets), "s")
+    every = sorted(mixing.mix(sized, budget=10**9)[0].collect(), key=lambda r: (r.finish, r.source, r.doc_id, r.use))
+    for budget in (0, 1, 57, 333, 1000):
+        want, total = [], 0
+        for r in every:
+            total += r.tokens
+            if total <= budget:
+                want.append((r.doc_id, r.use))
+        assert sorted((r.doc_id, r.use) for r in mixing.mix(sized, budget)[0].collect()) == sorted(want)
+
+
+def test_equal_texts_belong_to_a_target_source(spark):
+    docs, targets = tables(spark, [(1, "mismo texto", "other", 1, "x"), (2, "mismo texto", "c", 1, "x"), (3, "mismo texto", "a", 1, "x"), (3, "mismo texto", "a", 1, "x")])
+    assert [(r.doc_id, r.source) for r in mixing.sized_texts(docs, targets).collect()] == [(2, "c")]
+
+
 def test_a_source_that_runs_dry(spark):
     docs, targets = tables(spark, corpus())
     sized = materialize(mixing.sized_texts(docs, targets), "s")
