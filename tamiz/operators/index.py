@@ -10,25 +10,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.stemmers import stem_column
-from tamiz.functions.text import keyword_tokens, lower_tokens, tokenize
+from tamiz.functions.analysis import term_array
 from tamiz.schema import DOCUMENT, FieldConfig, IndexSchema
 from tamiz.session import spread
 
 HEAD = 3
 
 
-def analyze_column(col: Column, field: FieldConfig) -> Column:
-    """Terms of a text, not yet stemmed."""
-    return keyword_tokens(col) if field.analyzer.kind == "keyword" else lower_tokens(tokenize(col))
-
-
 def field_tokens(docs: DataFrame, field: FieldConfig) -> DataFrame:
     """``id, field, dl, pos, term``; stemmed by a join with the stems of the distinct terms."""
-    rows = docs.select("id", F.lit(field.name).alias("field"), analyze_column(F.col(field.name), field).alias("terms"))
+    rows = docs.select("id", F.lit(field.name).alias("field"), term_array(F.col(field.name), field.analyzer).alias("terms"))
     # the length is taken below the explode, which would else carry the whole array along with each of its terms
     sized = rows.select("id", "field", F.size("terms").alias("dl"), "terms")
     flat = sized.select("id", "field", "dl", F.posexplode("terms").alias("pos", "term"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tamiz.functions.text import lower_tokens, tokenize
+from tamiz.functions.analysis import term_array
 from tamiz.functions.stemmers import stem_column
 from tamiz.operators.filters import apply_filters, facets
 from tamiz.operators.index import Index
@@ -39,8 +39,8 @@ def term_score(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
 def query_tokens(queries: DataFrame, index: Index) -> DataFrame:
     """``qid, qpos, q`` of a table ``qid, query``, analyzed as the first text field is."""
     analyzer = index.schema.query_analyzer
-    flat = queries.select("qid", F.posexplode(lower_tokens(tokenize(F.col("query")))).alias("qpos", "q"))
-    return flat.withColumn("q", stem_column(analyzer.language.value)("q")) if analyzer.language else flat
+    flat = queries.select("qid", F.posexplode(term_array(F.col("query"), analyzer)).alias("qpos", "q"))
+    return flat.withColumn("q", stem_column(analyzer.language.value)("q")) if analyzer.language and analyzer.kind != "keyword" else flat
 
 
 def expand(vocabulary: DataFrame, terms: DataFrame, typo_tolerance: bool = True) -> DataFrame:

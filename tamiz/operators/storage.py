@@ -11,6 +11,7 @@ The store may also be split by shard: ``shard_of`` gives the shard of an id.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamiz.functions.routing import shard_of
+from tamiz.operators.index import build
 from tamiz.operators.manifest import Manifests, fresh
-from tamiz.schema import DOCUMENT
+from tamiz.schema import DOCUMENT, IndexSchema
 
 OPERATION = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("id", T.LongType()), T.StructField("doc", DOCUMENT)])
 ROW_OVERHEAD, BUFFER_BYTES = 64, 64 << 20
@@ -146,6 +148,18 @@ class Store:
         """``shard_id, live_docs``, with the total as shard null (OP-32)."""
         return shard_stats(self.documents(), shards)
 
+    def summary(self) -> dict[str, int]:
+        """Segments, and what is still in the log."""
+        log = self._read(self.manifest.log)
+        return {"segments": len(self.manifest.segments), "segment_rows": sum(self.manifest.segments.values()), "buffered_rows": log.count(), "buffered_bytes": sum(self.manifest.log.values())}
+
+    def reindex(self, schema: IndexSchema, path: str) -> dict[str, float]:
+        """Compacts, and writes the index tables of the live documents under a new schema."""
+        began = time.perf_counter()
+        rows = self.compact()
+        build(self.documents(), schema).write(path)
+        return {"docs_reindexed": rows, "elapsed_seconds": time.perf_counter() - began}
+
 
 def shard_stats(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select(shard_of(F.col("id"), shards).alias("shard_id")).rollup("shard_id").agg(F.count("*").alias("live_docs"))

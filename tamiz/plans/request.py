@@ -8,9 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from tamiz.functions.stemmers import STEMMERS
-from tamiz.functions.text import tokenize_python
-from tamiz.schema import Analyzer, IndexSchema, Language
+from tamiz.functions.analysis import analyze
+from tamiz.schema import IndexSchema, Language
 
 MAX_QUERY_BYTES, MAX_LIMIT = 1024, 1000
 MAX_PREFIX_BYTES, MAX_SUGGESTIONS, DEFAULT_SUGGESTIONS = 100, 20, 5
@@ -108,20 +107,12 @@ class ParsedQuery:
 QueryAnalyzer = Callable[[ParsedQuery], ParsedQuery]
 
 
-def analyze(text: str, analyzer: Analyzer) -> list[str]:
-    """The terms of a text, as the index holds them."""
-    if analyzer.kind == "keyword":
-        return [text] if text else []
-    words = [t.lower() for t in tokenize_python(text)]
-    return [STEMMERS[analyzer.language.value](w) for w in words] if analyzer.language else words
-
-
 def tokens_of(schema: IndexSchema) -> QueryAnalyzer:
     """Terms by the analyzer of the first text field, in the query's language if one was set."""
     base = schema.query_analyzer
 
     def run(q: ParsedQuery) -> ParsedQuery:
-        own = Analyzer(base.kind, q.language) if base.language and "language" in q.transformations else base
+        own = replace(base, language=q.language) if base.language and "language" in q.transformations else base
         return replace(q, tokens=tuple(analyze(q.original, own)), transformations=(*q.transformations, "tokens"))
 
     return run

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
 ATTRIBUTE = T.StructType([T.StructField("s", T.StringType()), T.StructField("n", T.DoubleType()), T.StructField("b", T.BooleanType()), T.StructField("a", T.ArrayType(T.StringType()))])
@@ -33,10 +35,17 @@ class FieldType(str, Enum):
 
 @dataclass(frozen=True)
 class Analyzer:
-    """``standard`` splits, lowers and, with a language, stems; ``keyword`` takes the whole text as one term."""
+    """``standard`` splits, lowers and, with a language, stems; ``keyword`` takes the whole text as one term.
+
+    ``tokenizer`` takes a text column to an array of words, in place of the
+    kind's own; ``filters`` take such an array to another, in turn, before
+    stemming (stop words, synonyms).
+    """
 
     kind: str = "standard"
     language: Language | None = None
+    tokenizer: Callable[[Column], Column] | None = None
+    filters: tuple[Callable[[Column], Column], ...] = ()
 
 
 @dataclass(frozen=True)

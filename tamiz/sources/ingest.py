@@ -35,9 +35,10 @@ def typed_attribute(raw: Column) -> Column:
     )
 
 
-def documents_from_raw(raw: DataFrame) -> DataFrame:
+def documents_from_raw(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Documents of rows whose attributes are JSON texts; ``keep`` names further columns to keep."""
     attrs = F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))
-    return raw.withColumn("attributes", F.map_from_entries(F.transform(F.map_entries(attrs), lambda e: F.struct(e["key"].alias("key"), typed_attribute(e["value"]).alias("value"))))).select(*DOCUMENT.names)
+    return raw.withColumn("attributes", F.map_from_entries(F.transform(F.map_entries(attrs), lambda e: F.struct(e["key"].alias("key"), typed_attribute(e["value"]).alias("value"))))).select(*(keep or []), *DOCUMENT.names)
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
