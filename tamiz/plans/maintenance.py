@@ -137,6 +137,31 @@ def _sql_p2_found() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _sql_p4_found() -> str:
+    blanks, no_value = r"[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+", ", ".join(f"'{v}'" for v in wide.NO_VALUE)
+    units = ", ".join(f"('{u}', '{b}', {f})" for u, (b, f) in wide.UNITS.items())
+    squeeze = lambda c: f"trim(regexp_replace({c}, '{blanks}', ' ', 'g'))"
+    fold = lambda c: f"strip_accents(lower({c}))"
+    text = lambda c: f"CASE WHEN {fold(squeeze(c))} NOT IN ({no_value}) THEN {squeeze(c)} END"
+    key = lambda c: f"upper(regexp_replace({c}, '[\\s\\x{{a0}}_-]', '', 'g'))"
+    name = lambda c: f"regexp_replace({fold(c)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    number = r"^x?\s*([0-9]+(?:[.,][0-9]+)?)\s*([a-z]*)\.?$"
+    flags = lambda vs: ", ".join(f"'{v}'" for v in vs)
+    return f"""WITH r AS (
+  SELECT 'item' AS origin, item_id AS entity_id, id AS ak, name AS an, value_name AS s, CAST(NULL AS DOUBLE) AS n, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR[]) AS a, updated_at AS upd, row_id AS tie FROM item_attrs
+  UNION ALL SELECT 'document', CAST(id AS VARCHAR), k, NULL, v.s, v.n, v.b, v.a, loaded_at, 0 FROM (SELECT id, loaded_at, unnest(map_keys(attributes)) AS k, unnest(map_values(attributes)) AS v FROM catalog_docs)),
+u(spelled, base, factor) AS (VALUES {units}),
+j AS (SELECT r.*, d.id AS attr_id, d.value_type, d.unit, {text('r.s')} AS t FROM r JOIN attr_defs d ON CASE WHEN coalesce({key('r.ak')}, '') <> '' THEN {key('r.ak')} = {key('d.id')} ELSE {name('r.an')} = {name('d.name')} END),
+m AS (SELECT j.*, {fold('t')} AS f, TRY_CAST(replace(regexp_extract({fold('t')}, '{number}', 1), ',', '.') AS DECIMAL(18, 6)) AS digits, regexp_extract({fold('t')}, '{number}', 2) AS spelled FROM j),
+c AS (SELECT m.*, CASE value_type
+    WHEN 'number' THEN CAST(CAST(coalesce(CASE WHEN NOT (starts_with(f, 'x') AND unit <> 'units') THEN CASE WHEN m.spelled = '' THEN round(digits) WHEN u.base = unit THEN round(digits * u.factor) END END, round(n)) AS BIGINT) AS VARCHAR)
+    WHEN 'flag' THEN coalesce(CAST(b AS VARCHAR), CASE WHEN f IN ({flags(wide.TRUE)}) THEN 'true' WHEN f IN ({flags(wide.FALSE)}) THEN 'false' END)
+    WHEN 'list' THEN nullif(array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(regexp_split_to_array(t, '[,;/|]'), a), lambda x: lower({squeeze('x')})), lambda x: {fold('x')} NOT IN ({no_value})))), ','), '')
+    ELSE t END AS cell FROM m LEFT JOIN u ON u.spelled = m.spelled)
+SELECT origin, entity_id, attr_id, cell AS cell_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin, entity_id, attr_id ORDER BY upd DESC, tie DESC, cell DESC) AS rn FROM c WHERE cell IS NOT NULL AND entity_id IS NOT NULL) WHERE rn = 1"""
+
+
 QUERIES = {"p2_method": p2_method, "p2_found": p2_found, "p2_shares": p2_shares, "p2_profile": p2_profile, "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_state": p5_state}
 
 
@@ -144,6 +169,7 @@ def oracles() -> dict[str, str]:
     return {
         "p2_found": _sql_p2_found(),
         "p2_shares": _sql_p2_shares(),
+        "p4_found": _sql_p4_found(),
         "p5_found": f"SELECT doc_id, wal_gen, seq FROM ({_LATEST})",
         "p5_state": f"SELECT doc_id, wal_gen, seq, doc.title AS title, doc.price AS price, doc.category AS category FROM ({_LATEST})",
     }
