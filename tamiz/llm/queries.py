@@ -140,6 +140,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_repeated FROM w LEFT JOIN
 """
 
 
+_P9_METHOD = r"""
+WITH l AS (SELECT doc_id, coalesce(CAST(seller_id AS VARCHAR), '') AS host, trim(regexp_replace(lower(unnest(regexp_split_to_array(text, '\r\n|[\n\x{0b}\x{0c}\r\x{85}\x{2028}\x{2029}]'))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM documents),
+h AS (SELECT host, line FROM l WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 3),
+m AS (SELECT l.*, h.line IS NOT NULL AS gone FROM l LEFT JOIN h USING (host, line) WHERE l.line <> '')
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(length(line)) FILTER (WHERE NOT gone), 0) / sum(length(line)) AS kept_share,
+  coalesce(sum(length(line)) FILTER (WHERE NOT gone), 0) / sum(length(line)) < 0.5 AS rejected
+FROM m GROUP BY doc_id
+"""
+
+
 def p9_counts(spark: SparkSession, d: str) -> DataFrame:
     return p9_share(spark, d).drop("share")
 
@@ -160,5 +170,6 @@ def oracles() -> dict[str, str]:
         "p3_found": f"WITH x AS ({_P3}), g AS (SELECT k, min(id) AS keep_id FROM x GROUP BY k) SELECT DISTINCT keep_id, id AS copy_id FROM x JOIN g USING (k) WHERE id <> keep_id",
         "p7_found": _P7,
         "p9_counts": _P9,
+        "p9_method": _P9_METHOD,
         "p9_found": f"SELECT DISTINCT doc_id FROM ({_P9}) WHERE n_words > 0 AND n_repeated * 10 >= n_words * 3",
     }
