@@ -46,8 +46,27 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the scratch folder; what is written there goes when the application ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clear_scratch)
+    _MADE.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete the scratch tables of this application, also while it runs, if no plan reads them any more."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
