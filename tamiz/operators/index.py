@@ -24,9 +24,10 @@ HEAD = 3
 def field_tokens(docs: DataFrame, field: FieldConfig) -> DataFrame:
     """``id, field, dl, pos, term``; stemmed by a join with the stems of the distinct terms."""
     rows = docs.select("id", F.lit(field.name).alias("field"), term_array(F.col(field.name), field.analyzer).alias("terms"))
-    # the length is taken below the explode, which would else carry the whole array along with each of its terms
+    # the length is taken below the explode, which would else carry the whole array along with each of its terms;
+    # explode_outer, since for a plain one the optimizer adds a filter on the array that analyzes every text twice
     sized = rows.select("id", "field", F.size("terms").alias("dl"), "terms")
-    flat = sized.select("id", "field", "dl", F.posexplode("terms").alias("pos", "term"))
+    flat = sized.select("id", "field", "dl", F.posexplode_outer("terms").alias("pos", "term")).filter(F.col("term").isNotNull())
     if field.analyzer.kind == "keyword" or not field.analyzer.language:
         return flat
     stems = flat.select("term").distinct().withColumn("stem", stem_column(field.analyzer.language.value)("term"))

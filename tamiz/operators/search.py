@@ -39,7 +39,7 @@ def term_score(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
 def query_tokens(queries: DataFrame, index: Index) -> DataFrame:
     """``qid, qpos, q`` of a table ``qid, query``, analyzed as the first text field is."""
     analyzer = index.schema.query_analyzer
-    flat = queries.select("qid", F.posexplode(term_array(F.col("query"), analyzer)).alias("qpos", "q"))
+    flat = queries.select("qid", F.posexplode_outer(term_array(F.col("query"), analyzer)).alias("qpos", "q")).filter(F.col("q").isNotNull())
     return flat.withColumn("q", stem_column(analyzer.language.value)("q")) if analyzer.language and analyzer.kind != "keyword" else flat
 
 
@@ -54,7 +54,7 @@ def expand(vocabulary: DataFrame, terms: DataFrame, typo_tolerance: bool = True)
     """
     q = terms.select("q").distinct()
     # an equi-join on the terms' beginnings instead of a comparison of all with all
-    starts = vocabulary.select("term", "df", F.explode(F.expr(f"transform(sequence(1, least(char_length(term), {MAX_QUERY_BYTES})), i -> substr(term, 1, i))")).alias("q"))
+    starts = vocabulary.select("term", "df", F.explode_outer(F.expr(f"transform(sequence(1, least(char_length(term), {MAX_QUERY_BYTES})), i -> substr(term, 1, i))")).alias("q"))
     both = starts.join(q, "q").select("q", "term", "df", F.lit(True).alias("p"), F.lit(None).cast("int").alias("dist"))
     known = both.select("q").distinct().withColumn("has", F.lit(True))
     if typo_tolerance:
@@ -79,7 +79,7 @@ def expand_request(vocabulary: DataFrame, tokens: tuple[str, ...], typo_toleranc
         edits = 0 if not typo_tolerance or len(q.encode()) < 3 else 1 if len(q.encode()) <= 4 else 2
         dist = F.when(F.abs(F.length("term") - len(q)) <= edits, F.levenshtein(F.lit(q), "term", edits)).otherwise(-1) if edits else F.lit(-1)
         tries.append(F.struct(F.lit(q).alias("q"), F.col("term").startswith(q).alias("p"), dist.alias("dist")))
-    flat = vocabulary.select("term", "df", F.explode(F.filter(F.array(*tries), lambda x: x["p"] | (x["dist"] >= 0))).alias("x"))
+    flat = vocabulary.select("term", "df", F.explode_outer(F.filter(F.array(*tries), lambda x: x["p"] | (x["dist"] >= 0))).alias("x")).filter(F.col("x").isNotNull())
     found = flat.select("term", "df", "x.*").limit(limit + 1).collect()
     if len(found) > limit:
         return None

@@ -25,7 +25,7 @@ def field_text(field: str) -> Column:
 
 def term_rows(docs: DataFrame, fields: tuple[str, ...] = ("title",)) -> DataFrame:
     """``id, field, term``: the distinct lower-case terms of each document and field, not stemmed."""
-    parts = [docs.select("id", F.lit(f).alias("field"), F.explode(F.array_distinct(lower_tokens(tokenize(field_text(f))))).alias("term")) for f in fields]
+    parts = [docs.select("id", F.lit(f).alias("field"), F.explode_outer(F.array_distinct(lower_tokens(tokenize(field_text(f))))).alias("term")).filter(F.col("term").isNotNull()) for f in fields]
     return reduce(DataFrame.unionByName, parts)
 
 

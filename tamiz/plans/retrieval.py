@@ -59,7 +59,7 @@ def _all(spark, d, request: SearchRequest, docs=part_documents) -> DataFrame:
 
 
 def tokenize_terms(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(text.lower_tokens(text.tokenize(F.col("text")))).alias("pos", "term"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode_outer(text.lower_tokens(text.tokenize(F.col("text")))).alias("pos", "term")).filter(F.col("term").isNotNull())
 
 
 def term_df(spark, d):
@@ -82,7 +82,7 @@ def stem_es(spark, d):
     """Stems of the distinct Spanish vocabulary."""
     from tamiz.functions.stemmers import stem_column
 
-    words = table(spark, d, "documents").select(F.explode(text.lower_tokens(text.tokenize(F.col("text")))).alias("term")).distinct()
+    words = table(spark, d, "documents").select(F.explode_outer(text.lower_tokens(text.tokenize(F.col("text")))).alias("term")).filter(F.col("term").isNotNull()).distinct()
     return words.select("term", stem_column("es")("term").alias("stem"))
 
 
