@@ -15,7 +15,7 @@ from tamiz.sources.tables import table
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "suggest_terms").select(F.lit("suggest_term").alias("field"), trim_to_word(F.col("term")).alias("term"), F.col("doc_id").alias("rid"))
-    titles = table(spark, d, "catalog_docs").select(F.lit("title").alias("field"), F.explode(words(F.col("title"))).alias("term"), F.col("id").alias("rid"))
+    titles = table(spark, d, "catalog_docs").select(F.lit("title").alias("field"), F.explode_outer(words(F.col("title"))).alias("term"), F.col("id").alias("rid")).filter(F.col("term").isNotNull())
     return terms.filter(F.col("term") != "").unionByName(titles)
 
 

@@ -66,7 +66,7 @@ def line_filter(docs: DataFrame, host: str, key: str = "doc_id", text: str = "te
     rejected; one without lines is not.
     """
     lines = (
-        docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.posexplode(F.split(F.col(text), r"\R")).alias("_pos", "_line"))
+        docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.explode_outer(F.split(F.col(text), r"\R")).alias("_line"))
         .withColumn("_line", F.trim(F.regexp_replace(F.lower("_line"), NOT_WORD, " ")))
         .filter(F.col("_line") != "")
         .select(key, "_host", F.unhex(F.md5("_line")).alias("_hash"), F.length("_line").alias("_size"))
