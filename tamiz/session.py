@@ -8,6 +8,7 @@ gets a folder of its own; on a cluster a missing setting is an error.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, unless ``PYTHONPATH`` does so already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        return spark
+    folder = tempfile.mkdtemp(prefix="tamiz-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    # read from here by the driver only, which hands it to the executors
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tamiz", "zip", root, "tamiz"))
+    _SHIPPED.add(app)
+    return spark
+
+
 def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tamiz")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
