@@ -146,7 +146,9 @@ def parts(title: str | None, attributes) -> dict:
     out["words"] = _WORD.findall(t)
     named = [w for w in out["words"] if w in COLORS]
     if named:
-        out["color_t"] = COLORS[next((w for w in named if w not in AMBIGUOUS_COLORS), named[0])]
+        # of several, one that is neither a word of another language nor a misspelled brand
+        doubtful = lambda w: w in AMBIGUOUS_COLORS or (out["brand_a"] is not None and damerau_at_most_one(w, out["brand_a"]))
+        out["color_t"] = COLORS[next((w for w in named if not doubtful(w)), named[0])]
     return out
 
 
@@ -165,13 +167,13 @@ def damerau_at_most_one(a: str, b: str) -> bool:
 
 
 class Speller:
-    """Nearest word within one typing error, by shared deletions."""
+    """Nearest word within one typing error, by shared deletions; mends words of ``least`` letters or more."""
 
     def __init__(self, words: dict[str, float], least: int = 4):
         self.words, self.least = words, least
         self.table: dict[str, list[str]] = {}
         for w in words:
-            if len(w) >= least:
+            if len(w) >= least - 1:
                 for d in self._deletions(w):
                     self.table.setdefault(d, []).append(w)
 
