@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.session import spread
+
 WINDOW = 10
 BLOCK_WORDS = 500_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -133,7 +135,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
         if not texts and block:
             continue
         sent = spark.sparkContext.broadcast((texts, [sorted(set(v)) for v in by_words.values()]))
-        parts.append(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(_searcher(sent, window, edits), schema))
+        parts.append(spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())).mapInPandas(_searcher(sent, window, edits), schema))
     merged = reduce(DataFrame.unionByName, parts)
     return merged.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("n_stretches").alias("n_stretches"), F.first("item_stretches").alias("item_stretches"))
 

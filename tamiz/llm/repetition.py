@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.text import NOT_WORD
 from tamiz.operators.skew import join_lookup
+from tamiz.session import spread
 
 RUN = 5
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -55,7 +56,7 @@ def repeated_share(docs: DataFrame, key: str = "doc_id", text: str = "text", run
             yield pd.DataFrame({key: b[key], "n_words": pd.Series(n, dtype="int64"), "n_repeated": pd.Series(r, dtype="int64")})
 
     kind = docs.schema[key].dataType.simpleString()
-    measured = docs.select(key, F.col(text).alias("_text")).mapInPandas(measure, f"{key} {kind}, n_words bigint, n_repeated bigint")
+    measured = spread(docs.select(key, F.col(text).alias("_text"))).mapInPandas(measure, f"{key} {kind}, n_words bigint, n_repeated bigint")
     return measured.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
