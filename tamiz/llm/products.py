@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 
 from tamiz.llm.listing_parser import Lexicon, damerau_at_most_one, parts
 from tamiz.operators.skew import join_lookup
-from tamiz.session import materialize
+from tamiz.session import materialize, spread
 
 MAX_WORDS = 100_000
 TOP_CATEGORIES = 6
@@ -76,7 +76,7 @@ def parse(listings: DataFrame) -> DataFrame:
 
     category = F.regexp_extract(F.col("category_id"), r"([0-9]+)\s*$", 1)
     rows = listings.filter(F.col("id").isNotNull()).select("id", F.when(category != "", category).alias("category"), "title", F.transform("attributes", lambda x: F.struct(x["id"].alias("id"), x["value_name"].alias("value_name"))).alias("attributes"))
-    return rows.mapInPandas(run, _PARTS)
+    return spread(rows).mapInPandas(run, _PARTS)
 
 
 def _frequent(df: DataFrame, *by: str) -> tuple[list, int]:
@@ -179,34 +179,38 @@ def same_product(a: tuple, b: tuple) -> bool:
 # sorted neighbourhood ---------------------------------------------------
 
 
-def _placed(recs: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their position in the global order."""
+def _placed(recs: DataFrame, passes: list[list[str]]) -> DataFrame:
+    """Every record once a pass, with its position in the order by pass and key: one global sort for all passes."""
     n = max(1, int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order), F.col("rec")]
-    sorted_ = recs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
-    sorted_ = materialize(sorted_, "sorted").withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    keys = [F.struct(F.lit(i).alias("pass"), F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)).alias("key")) for i, order in enumerate(passes)]
+    order = ["pass", "key", "rec"]
+    rows = recs.select("rec", *FIELDS, "article", F.explode(F.array(*keys)).alias("k")).select("k.pass", "k.key", "rec", *FIELDS, "article")
+    sorted_ = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("key").withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    sorted_ = sorted_.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_c"))  # one row a partition
     starts = sizes.withColumn("_start", F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).select("_p", "_start")
     return sorted_.join(F.broadcast(starts), "_p").withColumn("pos", F.col("_start") + F.col("_i")).drop("_m", "_p", "_i", "_start")
 
 
-def neighbours(recs: DataFrame, order: list[str], window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """``a, b``: records within the window of one pass that are the same product."""
-    placed = _placed(recs, order).select("pos", "rec", *FIELDS, "article")
+def neighbours(recs: DataFrame, passes: list[list[str]], window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """``a, b``: records within the window of a pass that are the same product."""
+    placed = _placed(recs, passes)
     own = F.floor(F.col("pos") / block).cast("long")
     blocks = F.when((F.pmod("pos", F.lit(block)) < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
+        upto = int((pdf["_block"] == pdf["_own"]).sum())  # the rows after that belong to the next block
         pdf = pdf.astype(object).where(pdf.notna(), None)
         rows = list(zip(*(pdf[c] for c in [*FIELDS, "article"])))
-        recs_, out = list(pdf["rec"]), []
-        upto = int((pdf["_block"] == pdf["_own"]).sum())
-        for i in range(upto):  # the rows after that belong to the next block
+        names, turns, out = list(pdf["rec"]), list(pdf["pass"]), []
+        for i in range(upto):
             a = rows[i]
             for j in range(i + 1, min(i + window, len(rows))):
+                if turns[j] != turns[i]:
+                    break
                 if a[5] == rows[j][5] and same_product(a, rows[j]):
-                    out.append((recs_[i], recs_[j]))
+                    out.append((names[i], names[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return placed.withColumn("_own", own).withColumn("_block", F.explode(blocks)).groupBy("_block").applyInPandas(compare, "a string, b string")
@@ -243,11 +247,7 @@ def group_products(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     parsed = materialize(parse(listings), "parsed")
     resolved = materialize(resolve(parsed, learn(parsed)).withColumn("rec", record_key()), "resolved")
     recs = materialize(records(resolved), "records")
-    edges = None
-    for order in PASSES:
-        found = neighbours(recs, order, window)
-        edges = found if edges is None else edges.unionByName(found)
-    merged = pivot_clusters(materialize(edges, "pairs"), recs)
+    merged = pivot_clusters(materialize(neighbours(recs, PASSES, window), "pairs"), recs)
     total = recs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lookup = merged.join(recs.select("rec", "n"), "rec")
     placed = join_lookup(resolved.select("id", "rec"), lookup, ["rec"], "n", total, "left")
