@@ -57,13 +57,17 @@ class BucketTable:
         base, held = self._manifests.latest()
         held = {int(k): v for k, v in (held or {}).items()}
         batch = batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))
-        touched = {r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # at most self.buckets
-        if not touched:
-            return base
-        rows = batch if not (touched & held.keys()) else self.read(base, touched).unionByName(batch)
+        rows = batch
+        if held:
+            touched = {r[0] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # at most self.buckets
+            if touched & held.keys():
+                rows = self.read(base, touched).unionByName(batch)
         merged = self.merge(rows.withColumn("_bucket", self._bucket()), ["_bucket", *self.keys])
         folder = fresh(f"data/{base + 1:010d}")
         parts = max(1, min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         merged.repartition(parts, "_bucket").sortWithinPartitions("_bucket", *self.keys).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        held |= {b: f"{folder}/_bucket={b}" for b in touched}
+        written = {int(n.partition("=")[2]): f"{folder}/{n}" for n in self._manifests.names(f"{self.path}/{folder}") if n.startswith("_bucket=")}
+        if not written:
+            return base
+        held |= written
         return self._manifests.publish(base, held)

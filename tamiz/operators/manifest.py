@@ -20,11 +20,13 @@ class Manifests:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def names(self, folder: str) -> list[str]:
+        """What a folder holds; nothing if there is no such folder."""
+        where = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
     def _numbers(self) -> list[int]:
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
-        return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "."), reverse=True)
+        return sorted((int(n.removesuffix(".json")) for n in self.names(self.folder) if n.endswith(".json") and n[0] != "."), reverse=True)
 
     def read(self, version: int) -> dict | None:
         """None if there is no such version, or it was never finished."""
