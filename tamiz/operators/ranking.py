@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tamiz.operators.filters import facets
 from tamiz.operators.index import Index
-from tamiz.operators.search import even_score, hydrate, match, order_hits
+from tamiz.operators.search import even_score, hydrate, match, order_hits, release
 from tamiz.plans.request import In, SearchRequest, SearchResult
 
 POOL = 200
@@ -231,7 +231,7 @@ class Searcher:
         if request.destination_zone:
             ordered = self.availability.apply(ordered, self.index.documents, request.destination_zone)
             ordered = ordered.orderBy("rank") if "rank" in ordered.columns else order_hits(self.index, ordered.select("id", "score"), request)
-        result = SearchResult(ordered, facets(matched, self.index.columns, self.index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, reranked)
+        result = SearchResult(ordered, facets(matched, self.index.columns, self.index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, reranked, release=lambda: release(matched))
         if self.cache is not None:
             spark = self.index.documents.sparkSession
             bounded = ordered.limit(max(self.pool * self.availability.multiplier, request.offset + request.limit))

@@ -165,7 +165,11 @@ def search_many(index: Index, queries: DataFrame, k: int = 20, typo_tolerance: b
 
 
 def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[DataFrame, str]:
-    """All matches ``id, score`` of one request, and the retrieval mode."""
+    """All matches ``id, score`` of one request, and the retrieval mode.
+
+    The scores of a query of several terms are kept until :func:`release`,
+    since hits, facets and total are read from them.
+    """
     spark = index.documents.sparkSession
     allowed = apply_filters(index.columns, index.schema, request.filters, strict).select("id") if request.filters else None
     if request.query == "":
@@ -189,8 +193,21 @@ def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[D
         if not impossible:
             scored = scored.persist()
         if impossible or scored.filter(F.col("and_score") > 0).isEmpty():
-            return scored.filter(F.col("or_score") > 0).select("id", F.col("or_score").alias("score")), "or_fallback"
-    return scored.filter(F.col("and_score") > 0).select("id", F.col("and_score").alias("score")), "and"
+            return _matched(scored, "or_score"), "or_fallback"
+    return _matched(scored, "and_score"), "and"
+
+
+def _matched(scored: DataFrame, column: str) -> DataFrame:
+    out = scored.filter(F.col(column) > 0).select("id", F.col(column).alias("score"))
+    out._tamiz_held = scored  # see release()
+    return out
+
+
+def release(matched: DataFrame) -> None:
+    """Free the scores that hits, facets and total of one request share."""
+    held = getattr(matched, "_tamiz_held", None)
+    if held is not None and held.is_cached:
+        held.unpersist()
 
 
 def sort_column(documents: DataFrame, field: str) -> Column:
@@ -221,7 +238,7 @@ def search(index: Index, request: SearchRequest, strict: bool = False) -> Search
     page = order_hits(index, matched, request).offset(request.offset).limit(request.limit)
     if request.include_docs:
         page = hydrate(page, index.documents)
-    return SearchResult(page, facets(matched, index.columns, index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode)
+    return SearchResult(page, facets(matched, index.columns, index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, release=lambda: release(matched))
 
 
 def get_documents(documents: DataFrame, ids: list[int] | DataFrame) -> DataFrame:

@@ -82,7 +82,10 @@ class SearchRequest:
 
 @dataclass
 class SearchResult:
-    """``hits`` are lazy; ``total`` and ``facets`` describe all matches, before paging and availability."""
+    """``hits`` are lazy; ``total`` and ``facets`` describe all matches, before paging and availability.
+
+    ``release()`` frees what they share, once all that is wanted has been read.
+    """
 
     hits: DataFrame
     facets: DataFrame
@@ -90,6 +93,7 @@ class SearchResult:
     mode: str = "and"
     reranked: bool = False
     cache_hit: bool = False
+    release: Callable[[], None] = lambda: None
 
 
 # query understanding ------------------------------------------------------

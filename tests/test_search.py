@@ -60,6 +60,14 @@ def test_or_fallback(spark):
     assert se.search(make(spark, PHONES), SearchRequest("zzzz")).hits.collect() == []
 
 
+def test_release(spark):
+    out = se.search(make(spark, PHONES), SearchRequest("samsung phone", aggregations=("category",)))
+    before = [h.id for h in out.hits.collect()]
+    out.release()
+    out.release()
+    assert [h.id for h in out.hits.collect()] == before == [1]
+
+
 def test_many_queries_as_one_plan(spark):
     index = make(spark, PHONES)
     queries = spark.createDataFrame([(1, "samsung"), (2, "phone zzzz"), (3, "shoes"), (4, ""), (5, None)], "qid long, query string")
