@@ -117,9 +117,13 @@ def resolve(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
         names = [c.split()[0] for c in _RESOLVED.split(", ")][1:]
         for b in batches:
             rows = []
-            for p in b.astype(object).where(b.notna(), None).to_dict("records"):
+            said = [c for c in b.columns if c != "id"]
+            for values in zip(*(b[c].tolist() for c in said)):
+                p = dict(zip(said, values))
                 for c in ("words", "lines_t", "line_a"):
                     p[c] = [] if p[c] is None else list(p[c])
+                for c in ("pack_a", "pack_t"):  # null numbers come as not-a-number
+                    p[c] = p[c] if p[c] == p[c] else None
                 rows.append(lex.resolve(p))
             out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="object") for n in names})
             out["pack"] = out["pack"].astype("int64")
