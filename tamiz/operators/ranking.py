@@ -177,7 +177,7 @@ class QueryCache:
     def key(r: SearchRequest) -> tuple:
         """Everything that changes the pool: not the page, not whether documents come along."""
         filters = tuple(sorted((k, ("in", tuple(sorted(f.values))) if isinstance(f, In) else (type(f).__name__, f)) for k, f in r.filters.items()))
-        return r.query, tuple(map(repr, filters)), r.aggregations, r.sort, r.typo_tolerance, r.language, r.destination_zone
+        return r.query, tuple(map(repr, filters)), r.aggregations, r.sort, r.typo_tolerance, r.language, r.destination_zone, r.max_candidates, r.weigh_or
 
     def get(self, r: SearchRequest):
         k = self.key(r)

@@ -193,12 +193,14 @@ def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[D
         if not impossible:
             scored = scored.persist()
         if impossible or scored.filter(F.col("and_score") > 0).isEmpty():
-            return _matched(scored, "or_score"), "or_fallback"
-    return _matched(scored, "and_score"), "and"
+            return _matched(scored, F.col("or_score") if request.weigh_or else F.col("or_score") / F.col("n_matched"), request), "or_fallback"
+    return _matched(scored, F.col("and_score"), request), "and"
 
 
-def _matched(scored: DataFrame, column: str) -> DataFrame:
-    out = scored.filter(F.col(column) > 0).select("id", F.col(column).alias("score"))
+def _matched(scored: DataFrame, value: Column, request: SearchRequest) -> DataFrame:
+    out = scored.select("id", value.alias("score")).filter(F.col("score") > 0)
+    if request.max_candidates is not None:
+        out = out.orderBy(F.desc(even_score()), "id").limit(request.max_candidates)
     out._tamiz_held = scored  # see release()
     return out
 

@@ -41,6 +41,8 @@ class Sort:
 
 @dataclass(frozen=True)
 class SearchRequest:
+    """``max_candidates`` keeps only so many best matches before facets and total (none: all); ``weigh_or`` multiplies the score of an OR match by its matched terms."""
+
     query: str = ""
     filters: dict[str, Eq | In | Range] = field(default_factory=dict)
     aggregations: tuple[str, ...] = ()
@@ -51,6 +53,8 @@ class SearchRequest:
     language: str | None = None
     destination_zone: str | None = None
     include_docs: bool = False
+    max_candidates: int | None = None
+    weigh_or: bool = True
 
     def validated(self) -> SearchRequest:
         if len(self.query.encode()) > MAX_QUERY_BYTES:
@@ -76,7 +80,7 @@ class SearchRequest:
             filters={k: one(v) for k, v in d.get("filters", {}).items()},
             aggregations=tuple(d.get("aggregations", ())),
             sort=Sort(sort["field"], sort.get("order", "desc") == "asc") if sort else None,
-            **{k: d[k] for k in ("offset", "limit", "typo_tolerance", "language", "destination_zone", "include_docs") if k in d},
+            **{k: d[k] for k in ("offset", "limit", "typo_tolerance", "language", "destination_zone", "include_docs", "max_candidates", "weigh_or") if k in d},
         )
 
 

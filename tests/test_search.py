@@ -60,6 +60,13 @@ def test_or_fallback(spark):
     assert se.search(make(spark, PHONES), SearchRequest("zzzz")).hits.collect() == []
 
 
+def test_candidate_cap_and_or_weight(spark):
+    index = make(spark, [(i, "red ring" if i % 2 else "red rod", "", 1.0, "c", {}) for i in range(20)])
+    assert se.search(index, SearchRequest("red", max_candidates=7)).total.first()[0] == 7
+    both, one = (se.search(index, SearchRequest("red ring zzz", weigh_or=w, limit=1)).hits.first() for w in (True, False))
+    assert both.id == one.id and abs(both.score - 2 * one.score) < 1e-9
+
+
 def test_release(spark):
     out = se.search(make(spark, PHONES), SearchRequest("samsung phone", aggregations=("category",)))
     before = [h.id for h in out.hits.collect()]
