@@ -32,9 +32,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -79,34 +80,33 @@ def parse(listings: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(run, _PARTS)
 
 
-def _frequent(df: DataFrame, *by: str) -> tuple[list, int]:
-    """Rows of the groups that have at least a share of 1 / MAX_WORDS of all; so there are at most MAX_WORDS."""
-    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(3, math.ceil(total / MAX_WORDS))
-    return counts.filter(F.col("n") >= least).collect(), least
+def _least(total: int) -> int:
+    """Rows from which a word is kept: so many that at most MAX_WORDS of ``total`` can have them."""
+    return max(3, math.ceil(total / MAX_WORDS))
 
 
 def learn(parsed: DataFrame) -> Lexicon:
     """Lexicons from counts over all listings."""
-    brands, _ = _frequent(parsed.filter(F.col("brand_a").isNotNull()).select("brand_a"), "brand_a")
-    lines = parsed.filter(F.col("line_a").isNotNull())
-    firsts, _ = _frequent(lines.select(F.col("line_a")[0].alias("w")), "w")
-    seconds, _ = _frequent(lines.select(F.col("line_a")[1].alias("w")), "w")
+    said = {"brand": F.col("brand_a"), "first": F.col("line_a")[0], "second": F.col("line_a")[1], "category": F.col("category")}
+    roles = parsed.select(F.explode(F.array(*(F.struct(F.lit(k).alias("role"), c.alias("w")) for k, c in said.items()))).alias("x")).select("x.*").filter(F.col("w").isNotNull())
+    counts = materialize(roles.groupBy("role", "w").agg(F.count("*").alias("n")), "roles")
+    lasts = {r.role: _least(r.total) for r in counts.groupBy("role").agg(F.sum("n").alias("total")).collect()}  # four rows
+    lexicons: dict[str, dict[str, int]] = {k: {} for k in said}
+    enough = [(F.col("role") == k) & (F.col("n") >= n) for k, n in lasts.items()]
+    for r in counts.filter(reduce(Column.__or__, enough, F.lit(False))).collect():  # at most MAX_WORDS a role
+        lexicons[r.role][r.w] = r.n
     words = parsed.select("category", F.explode(F.array_distinct("words")).alias("w"))
     by = words.groupBy("w", "category").agg(F.count("*").alias("n"))
     by = materialize(by, "words")
     totals = by.groupBy("w").agg(F.sum("n").alias("rows"))
     total = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    least = max(3, math.ceil(total / MAX_WORDS))
+    least = _least(total)
     foremost = W.partitionBy("w").orderBy(F.desc("n"), "category")
     top = by.filter(F.col("category").isNotNull()).join(totals.filter(F.col("rows") >= least), "w").withColumn("r", F.row_number().over(foremost)).filter(F.col("r") <= TOP_CATEGORIES)
     kinds: dict[str, tuple[int, dict[str, int]]] = {}
     for r in top.select("w", "rows", "category", "n").collect():  # at most MAX_WORDS * TOP_CATEGORIES
         kinds.setdefault(r.w, (r["rows"], {}))[1][r.category] = r.n
-    priors, _ = _frequent(parsed.filter(F.col("category").isNotNull()).select("category"), "category")
-    as_dict = lambda rows: {r[0]: r.n for r in rows}
-    return Lexicon(as_dict(brands), as_dict(firsts), as_dict(seconds), kinds, as_dict(priors), least)
+    return Lexicon(lexicons["brand"], lexicons["first"], lexicons["second"], kinds, lexicons["category"], least)
 
 
 def resolve(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
