@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.text import NOT_WORD
 from tamiz.operators.skew import join_lookup
-from tamiz.session import spread
+from tamiz.session import materialize, spread
 
 RUN = 5
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -73,7 +73,8 @@ def line_filter(docs: DataFrame, host: str, key: str = "doc_id", text: str = "te
         .select(key, "_host", F.unhex(F.md5("_line")).alias("_hash"), F.length("_line").alias("_size"))
     )
     # the first grouping combines map-side and spreads a hot line by document; the second gets one row a document and line
-    per_doc = lines.groupBy("_host", "_hash", key).agg(F.count("*").alias("_n"), F.first("_size").alias("_size"))
+    # written, since it is read three times and its plan would be pruned and filtered into three
+    per_doc = materialize(lines.groupBy("_host", "_hash", key).agg(F.count("*").alias("_n"), F.first("_size").alias("_size")), "lines")
     held = per_doc.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > limit)
     total = docs.count()
     marked = join_lookup(per_doc, held, ["_host", "_hash"], "_docs", total, "left")
