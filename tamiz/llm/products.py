@@ -264,9 +264,10 @@ def pairs(groups: DataFrame, per_task: int = 1000) -> DataFrame:
     The result is quadratic in a product's listings by definition; a large
     product is spread over as many salts as it has thousands of listings.
     """
+    groups = materialize(groups.select("id", F.unhex(F.md5("product")).alias("product")), "groups")
     sizes = groups.groupBy("product").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("salts", F.ceil(F.col("n") / per_task).cast("int"))
     total = groups.count()
-    members = materialize(join_lookup(groups, sizes, ["product"], "n", total).select("id", F.xxhash64("product").alias("product"), "salts"), "members")
+    members = materialize(join_lookup(groups, sizes, ["product"], "n", total).select("id", "product", "salts"), "members")
     left = members.select(F.col("id").alias("id_a"), "product", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     right = members.select(F.col("id").alias("id_b"), "product", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return left.join(right, ["product", "salt"]).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
