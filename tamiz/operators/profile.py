@@ -1,6 +1,7 @@
 """Column profiles per load, value masks and changes between loads.
 
-Every figure is exact and computed over all rows.  Nothing is gathered by load
+Every figure is exact (distinct counts up to collisions of a 64-bit hash) and
+computed over all rows.  Nothing is gathered by load
 or by column alone: distinct counts group by (column, load, hash of the value),
 value shares by (load, value), medians by (load, bin of the price) and then
 within the one or two bins that hold the middle.
