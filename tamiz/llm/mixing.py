@@ -20,7 +20,8 @@ Without a budget, the mixture is as large as it can be with every source that
 has texts at its share: the least of ``tokens * max_repeats / share``.  Shares
 of sources without texts can't be reached; the others keep their proportion.
 
-Defined results: null, empty and blank texts and texts without a target source
+Defined results: of two texts under one id the one of the lesser source counts;
+null, empty and blank texts and texts without a target source
 aren't used; a target share of 0 or null, or repeats below 1, means no use;
 targets named twice add up, with the smaller number of repeats.
 """
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tamiz.operators.skew import running_sum
-from tamiz.session import materialize
+from tamiz.session import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern of that vocabulary, which splits a text before byte pairs merge.
@@ -89,12 +90,12 @@ def sized_texts(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\s\x{a0}]"))
-    # at most MAX_SOURCES rows are broadcast
-    named = usable.select("doc_id", source_key(F.col("source")).alias("source"), F.unhex(F.md5("text")).alias("_h"), "text").join(F.broadcast(wanted), "source")
-    # equal texts: find the smallest id by hash (combined map-side), and only then fetch the text
-    kept = named.groupBy("_h").agg(F.min(F.struct("doc_id", "source")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.source").alias("_source"))
-    rows = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("source") == F.col("_source"))).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("text", "source", "weight", "max_repeats")))
-    return rows.select("doc_id", "source", "weight", "max_repeats", token_counter(tokenizer)("text").alias("tokens")).filter(F.col("tokens") > 0)
+    # texts are sized where they are read and don't move; at most MAX_SOURCES rows are broadcast
+    named = spread(usable.select("doc_id", source_key(F.col("source")).alias("source"), "text")).join(F.broadcast(wanted), "source")
+    sized = named.select(F.unhex(F.md5("text")).alias("_h"), F.struct("doc_id", "source", "weight", "max_repeats", token_counter(tokenizer)("text").alias("tokens")).alias("x"))
+    first = sized.groupBy("_h").agg(F.min("x").alias("x")).select("x.*").filter(F.col("tokens") > 0)
+    rest = ["source", "weight", "max_repeats", "tokens"]
+    return first.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
 
 
 def mix(texts: DataFrame, budget: int | None = None, seed: int = 7) -> tuple[DataFrame, int]:
