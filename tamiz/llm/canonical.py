@@ -42,8 +42,16 @@ def canonical_key(title: Column, description: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``key, id, load_id`` of the records that are cases."""
-    return docs.select(canonical_key(F.col("title"), F.col("description")).alias("key"), F.col("id").cast("long").alias("id"), "load_id").filter(F.col("key").isNotNull() & F.col("id").isNotNull())
+    """``key, id, load_id`` of all records; the key of one that is no case is null.
+
+    Not filtered here: the optimizer would move the filter below and compute
+    every key twice.  Write the result first, then take its :func:`cases`.
+    """
+    return docs.select(canonical_key(F.col("title"), F.col("description")).alias("key"), F.col("id").cast("long").alias("id"), "load_id")
+
+
+def cases(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
 
 
 SCHEMA = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n_records", T.LongType()), T.StructField("keep_id", T.LongType())])
@@ -58,11 +66,11 @@ def open_ledger(spark: SparkSession, path: str, buckets: int = 32) -> BucketTabl
 
 
 def add_batch(ledger: BucketTable, rows: DataFrame) -> int:
-    return ledger.commit(rows.groupBy("key").agg(F.count("*").alias("n_records"), F.min("id").alias("keep_id")))
+    return ledger.commit(cases(rows).groupBy("key").agg(F.count("*").alias("n_records"), F.min("id").alias("keep_id")))
 
 
 def copies(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """``keep_id, copy_id``: every other record of a group with its representative."""
     groups = ledger.filter(F.col("n_records") > 1)
     total = ledger.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
-    return join_lookup(rows.select("key", "id"), groups, ["key"], "n_records", total).filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id")).distinct()
+    return join_lookup(cases(rows).select("key", "id"), groups, ["key"], "n_records", total).filter(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id")).distinct()
