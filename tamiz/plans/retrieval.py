@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import text
 from tamiz.functions.routing import shard_of
+from tamiz.operators import changefeed, ranking, search, storage, suggest
 from tamiz.operators import index as ix
-from tamiz.operators import ranking, search, storage, suggest
 from tamiz.operators.filters import apply_filters, facets
 from tamiz.plans.request import Eq, In, Range, SearchRequest, Sort
 from tamiz.schema import ATTRIBUTE, FieldConfig, FieldType, IndexSchema
@@ -216,8 +216,8 @@ def oplog_since(spark, d):
 
 def live_after_deletes(spark, d):
     """Catalogue without the ids that the shard log deleted last."""
-    w = table(spark, d, "wal_records").filter(F.col("entry").isNotNull())
-    gone = w.filter(F.lower(F.trim("entry.op")) == "delete").select(F.col("entry.id").alias("id"))
+    changes = changefeed.normalize(table(spark, d, "wal_records"), F.col("entry.id"), F.col("entry.op"), {"wal_gen": F.col("wal_gen"), "seq": F.col("seq")}, F.lit(None).cast("string"))
+    gone = changefeed.fold(changes, ["key"]).filter("deleted").select(F.col("key").alias("id"))
     return ix.live(table(spark, d, "catalog_docs"), gone).select("id").distinct()
 
 

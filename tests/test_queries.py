@@ -22,3 +22,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_live_after_deletes_takes_the_last_change(spark, tmp_path):
+    log = [(0, 1, "delete", 1), (0, 2, "Index", 1), (0, 9, "index", 2), (1, 1, " DELETE ", 2), (1, 3, "index", 3), (0, 8, "delete", 3), (0, 1, "delete", 4), (0, 1, "delete", 99)]
+    spark.createDataFrame([(g, s, (op, i)) for g, s, op, i in log] + [(2, 1, None)], "wal_gen long, seq long, entry struct<op:string,id:long>").write.parquet(str(tmp_path / "wal_records.parquet"))
+    spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 5)], "id long").write.parquet(str(tmp_path / "catalog_docs.parquet"))
+    assert sorted(r.id for r in retrieval.live_after_deletes(spark, str(tmp_path)).collect()) == [1, 3, 5]
