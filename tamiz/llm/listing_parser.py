@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import ChainMap
 
 
 # Colour names in Spanish, Portuguese and English.
@@ -45,6 +46,8 @@ UNITS = {
 SIZE_WORDS = "talle|talla|tamanho|tamano|numero|nro|num|size|t"
 PACK_WORDS = "unidades|units|unids|pzas|piezas|pcs|un|u"
 PACK_HEADS = "pack|kit|set|combo|lote|caja"
+# A word is mended to one so many times as frequent.
+MEND_RATIO = 5
 DIMENSIONS = {"POWER": "w", "CAPACITY": "ml", "STORAGE": "gb", "LENGTH": "mm", "WEIGHT": "g", "SHOE_SIZE": "size"}
 
 # standard patterns, not those of the regex package: twice as fast here; folded text has no marks to look after
@@ -186,34 +189,70 @@ class Speller:
             return w
         if len(w) < self.least:
             return None
-        near = {c for d in self._deletions(w) for c in self.table.get(d, ()) if damerau_at_most_one(w, c)}
+        near = self._near(w)
         return min(near, key=lambda c: (-self.words[c], c)) if near else None
 
+    def _near(self, w: str) -> set[str]:
+        return {c for d in self._deletions(w) for c in self.table.get(d, ()) if damerau_at_most_one(w, c)}
+
+    def with_words(self, words: dict[str, float]) -> Speller:
+        return _WiderSpeller(self, words) if words else self
+
+
+class _WiderSpeller(Speller):
+    """A speller and a few more words."""
+
+    def __init__(self, inner: Speller, words: dict[str, float]):
+        self.inner, self.more, self.words, self.least = inner, words, ChainMap(words, inner.words), inner.least
+
+    def _near(self, w: str) -> set[str]:
+        return self.inner._near(w) | {c for c in self.more if len(c) >= self.least - 1 and damerau_at_most_one(w, c)}
+
 
 class Lexicon:
     """What all rows together say about words.
 
     ``brands``, ``firsts``, ``seconds``: brand words and the two words of lines,
     with their rows; ``kinds``: word -> (rows, {category: rows} of its foremost
-    categories); ``priors``: category -> rows.  Words below ``least`` rows are
-    not among them.
+    categories); ``priors``: category -> rows, ``total`` of all categories.
+    Words below ``least`` rows are not among them.  Words too many to hold come
+    by :meth:`with_words`; ``named`` are words of ``kinds`` that are brand or line
+    words there.
     """
 
-    def __init__(self, brands: dict[str, int], firsts: dict[str, int], seconds: dict[str, int], kinds: dict[str, tuple[int, dict[str, int]]], priors: dict[str, int], least: int = 3, alpha: float = 5.0, dominant: float = 0.4):
-        total = sum(priors.values()) or 1
+    def __init__(self, brands: dict[str, int], firsts: dict[str, int], seconds: dict[str, int], kinds: dict[str, tuple[int, dict[str, int]]], priors: dict[str, int], least: int = 3, alpha: float = 5.0, dominant: float = 0.4, total: int | None = None, named: frozenset[str] = frozenset()):
+        self.total = (sum(priors.values()) if total is None else total) or 1
+        self.alpha, self.dominant = alpha, dominant
         self.brands, self.firsts, self.seconds = brands, firsts, seconds
         self.rows = {w: n for w, (n, _) in kinds.items()}
         self.unseen = max(1, least // 2)
-        self.weights: dict[str, tuple[float, dict[str, float]]] = {}
-        for w, (n, by) in kinds.items():
-            if w in brands or w in firsts or w in seconds or w in COLORS or not by or max(by.values()) < dominant * n:
-                continue
-            prior = {c: priors.get(c, 1) / total for c in by}
-            self.weights[w] = (math.log(alpha / (n + alpha)), {c: math.log((k + alpha * prior[c]) / (n + alpha) / prior[c]) for c, k in by.items()})
+        self.weights = self._weigh({w: x for w, x in kinds.items() if w not in named}, priors)
         self._brand_speller, self._first_speller, self._second_speller = Speller(brands), Speller(firsts), Speller(seconds)
         self._kind_speller = Speller({w: kinds[w][0] for w in self.weights})
 
-    def _mend(self, speller: Speller, w: str, ratio: int = 5) -> str | None:
+    def _weigh(self, kinds: dict[str, tuple[int, dict[str, int]]], priors: dict[str, int]) -> dict[str, tuple[float, dict[str, float]]]:
+        weights, alpha = {}, self.alpha
+        for w, (n, by) in kinds.items():
+            if w in self.brands or w in self.firsts or w in self.seconds or w in COLORS or not by or max(by.values()) < self.dominant * n:
+                continue
+            prior = {c: priors.get(c, 1) / self.total for c in by}
+            weights[w] = (math.log(alpha / (n + alpha)), {c: math.log((k + alpha * prior[c]) / (n + alpha) / prior[c]) for c, k in by.items()})
+        return weights
+
+    def with_words(self, entries) -> Lexicon:
+        """This lexicon and the words of ``entries``: ``w, brand, first, second, rows, tops`` as in the lexicon table."""
+        brands, firsts, seconds, rows = ({e["w"]: e[k] for e in entries if e[k] is not None} for k in ("brand", "first", "second", "rows"))
+        out = object.__new__(Lexicon)
+        out.__dict__.update(self.__dict__)
+        out.brands, out.firsts, out.seconds, out.rows = ChainMap(brands, self.brands), ChainMap(firsts, self.firsts), ChainMap(seconds, self.seconds), ChainMap(rows, self.rows)
+        kinds = {e["w"]: (e["rows"], {t["category"]: t["n"] for t in e["tops"]}) for e in entries if e["rows"] is not None}
+        weights = out._weigh(kinds, {t["category"]: t["prior"] for e in entries if e["rows"] is not None for t in e["tops"] if t["prior"] is not None})
+        out.weights = ChainMap(weights, self.weights)
+        out._brand_speller, out._first_speller, out._second_speller = self._brand_speller.with_words(brands), self._first_speller.with_words(firsts), self._second_speller.with_words(seconds)
+        out._kind_speller = self._kind_speller.with_words({w: rows[w] for w in weights})
+        return out
+
+    def _mend(self, speller: Speller, w: str, ratio: int = MEND_RATIO) -> str | None:
         """The word itself, or a word within one typing error that is ``ratio`` times as frequent."""
         if w in speller.words:
             return w

@@ -17,9 +17,10 @@ The window doesn't bound the listings of a product: equal records are joined
 before, exactly.  It bounds how many different records lie between two that
 differ in one part.
 
-Lexicons hold only words with a least share of all word occurrences, so their
-size is bounded (``MAX_WORDS``) whatever the data; rarer words are compared by
-alignment only.  Sorting is global but in slices: rows are placed by range
+Lexicons are a table of all words with at least ``LEAST`` rows.  Those with a
+least share of all word occurrences, so that their number is bounded
+(``MAX_WORDS``) whatever the data, are broadcast; the others are joined by
+shuffle to the words that are, misspell or run together one of them.  Sorting is global but in slices: rows are placed by range
 partition and compared in blocks of ``BLOCK`` rows with an overlap.
 
 Defined results: a listing without id is ignored; repeated rows count once; a
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,11 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tamiz.llm.listing_parser import Lexicon, damerau_at_most_one, parts
+from tamiz.llm.listing_parser import MEND_RATIO, Lexicon, damerau_at_most_one, parts
 from tamiz.operators.skew import join_lookup
 from tamiz.session import materialize, spread
 
 MAX_WORDS = 100_000
+LEAST = 3
+LONG = 40  # letters from which words are matched by their ends instead of by deletions
+ROLES = ["brand", "first", "second"]
 TOP_CATEGORIES = 6
 WINDOW = 10
 BLOCK = 5000
@@ -81,35 +84,91 @@ def parse(listings: DataFrame) -> DataFrame:
 
 
 def _least(total: int) -> int:
-    """Rows from which a word is kept: so many that at most MAX_WORDS of ``total`` can have them."""
-    return max(3, math.ceil(total / MAX_WORDS))
+    """Rows from which a word is broadcast: so many that at most MAX_WORDS of ``total`` can have them."""
+    return max(LEAST, math.ceil(total / MAX_WORDS))
 
 
-def learn(parsed: DataFrame) -> Lexicon:
-    """Lexicons from counts over all listings."""
+def learn(parsed: DataFrame) -> tuple[Lexicon, DataFrame | None]:
+    """Lexicons from counts over all listings: the frequent words, and by listing the rare ones it needs, see :func:`rare_words`."""
     said = {"brand": F.col("brand_a"), "first": F.col("line_a")[0], "second": F.col("line_a")[1], "category": F.col("category")}
     roles = parsed.select(F.explode(F.array(*(F.struct(F.lit(k).alias("role"), c.alias("w")) for k, c in said.items()))).alias("x")).select("x.*").filter(F.col("w").isNotNull())
     counts = materialize(roles.groupBy("role", "w").agg(F.count("*").alias("n")), "roles")
-    lasts = {r.role: _least(r.total) for r in counts.groupBy("role").agg(F.sum("n").alias("total")).collect()}  # four rows
-    lexicons: dict[str, dict[str, int]] = {k: {} for k in said}
-    enough = [(F.col("role") == k) & (F.col("n") >= n) for k, n in lasts.items()]
-    for r in counts.filter(reduce(Column.__or__, enough, F.lit(False))).collect():  # at most MAX_WORDS a role
-        lexicons[r.role][r.w] = r.n
+    sums = {r.role: r for r in counts.groupBy("role").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") >= LEAST, F.col("n"))).alias("kept")).collect()}  # four rows
     words = parsed.select("category", F.explode(F.array_distinct("words")).alias("w"))
     by = words.groupBy("w", "category").agg(F.count("*").alias("n"))
     by = materialize(by, "words")
     totals = by.groupBy("w").agg(F.sum("n").alias("rows"))
     total = totals.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    least = _least(total)
+    least = {k: _least(sums[k].total if k in sums else 0) for k in ROLES} | {"rows": _least(total)}
     foremost = W.partitionBy("w").orderBy(F.desc("n"), "category")
-    top = by.filter(F.col("category").isNotNull()).join(totals.filter(F.col("rows") >= least), "w").withColumn("r", F.row_number().over(foremost)).filter(F.col("r") <= TOP_CATEGORIES)
-    kinds: dict[str, tuple[int, dict[str, int]]] = {}
-    for r in top.select("w", "rows", "category", "n").collect():  # at most MAX_WORDS * TOP_CATEGORIES
-        kinds.setdefault(r.w, (r["rows"], {}))[1][r.category] = r.n
-    return Lexicon(lexicons["brand"], lexicons["first"], lexicons["second"], kinds, lexicons["category"], least)
-
-
-def resolve(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
+    top = by.filter(F.col("category").isNotNull()).join(totals.filter(F.col("rows") >= LEAST), "w").withColumn("r", F.row_number().over(foremost)).filter(F.col("r") <= TOP_CATEGORIES)
+    counted = counts.filter(F.col("n") >= LEAST)
+    priors = counted.filter("role = 'category'").select(F.col("w").alias("category"), F.col("n").alias("prior"))
+    kinds = top.join(priors, "category", "left").groupBy("w").agg(F.max("rows").alias("rows"), F.collect_list(F.struct("category", "n", "prior")).alias("tops"))
+    spelled = counted.filter("role != 'category'").groupBy("w").agg(*(F.max(F.when(F.col("role") == k, F.col("n"))).alias(k) for k in ROLES))
+    table = materialize(spelled.join(kinds, "w", "full_outer").select("w", *ROLES, "rows", "tops"), "lexicon")
+    frequent = {k: F.col(k) >= n for k, n in least.items()}
+    lexicons: dict[str, dict[str, int]] = {k: {} for k in ROLES}
+    bycategory: dict[str, tuple[int, dict[str, int]]] = {}
+    prior: dict[str, int] = {}
+    named = set()
+    kept = [F.when(c, F.col(k)).alias(k) for k, c in frequent.items()]
+    for r in table.filter(F.coalesce(*(F.when(c, True) for c in frequent.values()))).select("w", *kept, F.when(frequent["rows"], F.col("tops")).alias("tops"), F.coalesce(*ROLES).isNotNull().alias("named")).collect():  # at most MAX_WORDS a role
+        for k in ROLES:
+            if r[k] is not None:
+                lexicons[k][r.w] = r[k]
+        if r["rows"] is not None:
+            bycategory[r.w] = (r["rows"], {t.category: t.n for t in r.tops})
+            prior.update((t.category, t.prior) for t in r.tops if t.prior is not None)
+            if r.named:
+                named.add(r.w)
+    listings = sums["category"].kept or 0 if "category" in sums else 0
+    lexicon = Lexicon(lexicons["brand"], lexicons["first"], lexicons["second"], bycategory, prior, LEAST, total=listings, named=frozenset(named))
+    rare = table.withColumn("most", F.greatest(*(F.when(~c, F.col(k)) for k, c in frequent.items()))).filter(F.col("most").isNotNull())
+    return lexicon, None if rare.isEmpty() else rare_words(parsed, table, rare, lexicon.dominant)
+
+
+def _spelling_keys(w: Column, least: int) -> Column:
+    """Words within one typing error share a key, if they have ``least`` letters or more."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    ends = F.array(F.concat(F.lit("<"), F.substr(w, F.lit(1), F.lit(15))), F.concat(F.lit(">"), F.substr(w, F.length(w) - 14)))  # an error can't touch both
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(w), F.when((F.length(w) >= least) & (F.length(w) <= LONG), cut).otherwise(none), F.when(F.length(w) >= LONG - 1, ends).otherwise(none)))
+
+
+def rare_words(parsed: DataFrame, table: DataFrame, rare: DataFrame, dominant: float, ratio: int = MEND_RATIO) -> DataFrame:
+    """``id, hits, rare``: by listing, the words of ``rare`` that one of its words is, may be mended to, or holds in a half.
+
+    Left out are words that :class:`Lexicon` wouldn't use: too few rows to mend
+    a word to, or halves of a word that is known as it is.
+    """
+    tokens = parsed.select("id", F.explode(F.array_distinct(F.concat("words", F.flatten("lines_t")))).alias("v"))
+    vocabulary = materialize(tokens.groupBy("v").agg(F.count("*").alias("n")), "vocabulary")
+    v, w = F.col("v"), F.col("w")
+    whole = F.coalesce(*ROLES).isNotNull() | F.coalesce(F.array_max(F.transform("tops", lambda t: t["n"])) >= dominant * F.col("rows"), F.lit(False))
+    known = table.select(w.alias("v"), F.col("rows").alias("v_rows"), whole.alias("whole"))
+    said = materialize(vocabulary.join(known, "v", "left").select("v", F.coalesce("v_rows", F.lit(1)).alias("v_rows"), F.coalesce("whole", F.lit(False)).alias("whole")), "said")
+    longest, most = table.agg(F.max(F.length("w"))).first()[0], rare.agg(F.max("most")).first()[0]
+    exact = vocabulary.select("v", v.alias("w")).join(rare.select("w"), "w").select("v", "w")
+    ours = said.filter(F.col("v_rows") * ratio <= most).select("v", "v_rows", F.explode(_spelling_keys(v, 4)).alias("key"))
+    theirs = rare.filter(F.col("most") >= ratio).select("w", "most", F.explode(_spelling_keys(w, 3)).alias("key"))
+    near = ours.join(theirs, "key").filter((F.col("v_rows") * ratio <= F.col("most")) & (F.levenshtein(v, w, 2) >= 0)).select("v", "w")
+    cuts = F.sequence(F.lit(3), F.length(v) - 3)
+    halves = said.filter(~F.col("whole") & (F.length(v) >= 6) & (F.length(v) <= 2 * longest)).select("v", F.explode(F.transform(cuts, lambda i: F.struct(F.substr(v, F.lit(1), i).alias("l"), F.substr(v, i + 1).alias("r")))).alias("x")).select("v", "x.*")
+    kinds = table.filter(F.col("rows").isNotNull())
+    halves = halves.join(kinds.select(w.alias("l")), "l").join(kinds.select(w.alias("r")), "r").select("v", F.explode(F.array("l", "r")).alias("w")).join(rare.select("w"), "w").select("v", "w")
+    related = near.unionByName(exact).unionByName(halves).distinct()
+    entries = related.join(rare.select("w", F.struct("w", *ROLES, "rows", "tops").alias("entry")), "w").groupBy("v").agg(F.collect_list("entry").alias("entries"))
+    lookup = materialize(entries.join(vocabulary, "v"), "rare")
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = join_lookup(tokens, lookup, ["v"], "n", total).select("id", F.explode("entries").alias("entry"))
+    return materialize(hits.groupBy("id").agg(F.count("*").alias("hits"), F.collect_set("entry").alias("rare")), "needed")
+
+
+def resolve(parsed: DataFrame, lexicon: Lexicon, rare: DataFrame | None = None) -> DataFrame:
+    if rare is not None:
+        total = rare.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+        parsed = join_lookup(parsed, rare, ["id"], "hits", total, "left").drop("hits")
     sent = parsed.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,11 +179,12 @@ def resolve(parsed: DataFrame, lexicon: Lexicon) -> DataFrame:
             said = [c for c in b.columns if c != "id"]
             for values in zip(*(b[c].tolist() for c in said)):
                 p = dict(zip(said, values))
+                more = p.pop("rare", None)
                 for c in ("words", "lines_t", "line_a"):
                     p[c] = [] if p[c] is None else list(p[c])
                 for c in ("pack_a", "pack_t"):  # null numbers come as not-a-number
                     p[c] = p[c] if p[c] == p[c] else None
-                rows.append(lex.resolve(p))
+                rows.append((lex if more is None else lex.with_words(more)).resolve(p))
             out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="object") for n in names})
             out["pack"] = out["pack"].astype("int64")
             out.insert(0, "id", b["id"].values)
@@ -249,7 +309,7 @@ def pivot_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
 def group_products(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id, product``: every listing with the product it offers."""
     parsed = materialize(parse(listings), "parsed")
-    resolved = materialize(resolve(parsed, learn(parsed)).withColumn("rec", record_key()), "resolved")
+    resolved = materialize(resolve(parsed, *learn(parsed)).withColumn("rec", record_key()), "resolved")
     recs = materialize(records(resolved), "records")
     merged = pivot_clusters(materialize(neighbours(recs, PASSES, window), "pairs"), recs)
     total = recs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

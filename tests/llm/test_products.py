@@ -104,3 +104,22 @@ def test_salted_pairs(spark):
     groups = spark.createDataFrame([(f"i{i:02d}", "p" if i < 20 else f"q{i}") for i in range(25)], "id string, product string")
     got = {tuple(r) for r in pr.pairs(groups, per_task=6).collect()}
     assert got == set(combinations([f"i{i:02d}" for i in range(20)], 2))
+
+
+def test_no_word_is_lost_as_the_table_grows(spark, monkeypatch):
+    rows, truth = catalogue()
+    parsed = pr.parse(spark.createDataFrame(rows, SCHEMA)).cache()
+    read = lambda: sorted((tuple(r) for r in pr.resolve(parsed, *pr.learn(parsed)).collect()), key=repr)
+    whole = read()
+    for most in (1, 8, 40):
+        monkeypatch.setattr(pr, "MAX_WORDS", most)  # as if there were so many more words
+        assert read() == whole
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text("ab", min_size=38, max_size=43), st.integers(0, 42), st.sampled_from(["cut", "put", "swap", "set"]))
+def test_spelling_keys_of_long_words(spark, w, i, how):
+    i = min(i, len(w) - 2)
+    v = {"cut": w[:i] + w[i + 1 :], "put": w[:i] + "c" + w[i:], "swap": w[:i] + w[i + 1] + w[i] + w[i + 2 :], "set": w[:i] + "c" + w[i + 1 :]}[how]
+    keys = spark.createDataFrame([(w, v)], "w string, v string").select(pr._spelling_keys(pr.F.col("w"), 3), pr._spelling_keys(pr.F.col("v"), 4)).first()
+    assert lp.damerau_at_most_one(v, w) and set(keys[0]) & set(keys[1])
