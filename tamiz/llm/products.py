@@ -9,7 +9,8 @@ Method: multi-pass sorted neighbourhood and correlation clustering.
 3. Records are range-sorted by several keys.  Each key puts the parts in
    another order, one part last, so that records which agree in all others are
    neighbours however that part is spelled or missing.  Within a sliding window
-   neighbours are compared by soft token alignment.
+   neighbours are compared by soft token alignment; where only their kinds
+   differ, by all names that their listings give the article.
 4. Correlation clustering by pivots joins the records; those with more listings
    are pivots first.
 
@@ -199,7 +200,12 @@ def record_key() -> F.Column:
 
 def records(resolved: DataFrame) -> DataFrame:
     """Distinct readings with their listings counted."""
-    return resolved.groupBy(*FIELDS).agg(F.count("*").alias("n"), F.min("article").alias("article")).withColumn("rec", record_key())
+    return resolved.groupBy(*FIELDS).agg(F.count("*").alias("n")).withColumn("rec", record_key())
+
+
+def article_names(resolved: DataFrame) -> DataFrame:
+    """``rec, article``: every name that the listings of a record give the article."""
+    return resolved.filter(F.col("article") != "").select("rec", "article").distinct()
 
 
 # comparison -------------------------------------------------------------
@@ -218,8 +224,8 @@ def _same_letters(a: str, b: str, errors: int = 1) -> bool:
     return bool(a) and bool(b) and (damerau_at_most_one(a, b) if errors == 1 else a == b)
 
 
-def same_product(a: tuple, b: tuple) -> bool:
-    """Soft alignment of two records ``(kind, brand, model, size, color, pack, article)``."""
+def _aligned(a: tuple, b: tuple) -> bool | None:
+    """Soft alignment of two records ``(kind, brand, model, size, color, pack)``; null if only their kinds differ and the names of the article decide."""
     if a[5] != b[5]:
         return False
     stated = 0
@@ -233,11 +239,30 @@ def same_product(a: tuple, b: tuple) -> bool:
             if not _soft(a[i], b[i]):
                 return False
             stated += 1
-    if a[0] is not None and b[0] is not None:
-        if a[0] != b[0] and not _same_letters(a[6], b[6]):
-            return False
-        stated += 1
-    return stated >= 4
+    if a[0] is None or b[0] is None:
+        return stated >= 4
+    if stated < 3:
+        return False
+    return True if a[0] == b[0] else None
+
+
+def same_product(a: tuple, b: tuple) -> bool:
+    """Soft alignment of two records ``(kind, brand, model, size, color, pack, article)``, each with one name of its article."""
+    alike = _aligned(a, b)
+    return _same_letters(a[6], b[6]) if alike is None else alike
+
+
+@F.pandas_udf(T.BooleanType())
+def _letters_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_same_letters(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+def same_names(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The ``a, b`` of which any names of their articles are one; joined, so that no record gathers its names."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+    keyed = names.join(asked, "rec", "left_semi").select("rec", "article", F.explode(_spelling_keys(F.col("article"), 1)).alias("key"))
+    left, right = (keyed.select(F.col("rec").alias(c), F.col("article").alias(f"name_{c}"), "key") for c in "ab")
+    return pairs.join(left, "a").join(right, ["b", "key"]).filter(_letters_alike("name_a", "name_b")).select("a", "b").distinct()
 
 
 # sorted neighbourhood ---------------------------------------------------
@@ -248,7 +273,7 @@ def _placed(recs: DataFrame, passes: list[list[str]]) -> DataFrame:
     n = max(1, int(recs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.struct(F.lit(i).alias("pass"), F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)).alias("key")) for i, order in enumerate(passes)]
     order = ["pass", "key", "rec"]
-    rows = recs.select("rec", *FIELDS, "article", F.explode(F.array(*keys)).alias("k")).select("k.pass", "k.key", "rec", *FIELDS, "article")
+    rows = recs.select("rec", *FIELDS, F.explode(F.array(*keys)).alias("k")).select("k.pass", "k.key", "rec", *FIELDS)
     sorted_ = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("key").withColumn("_m", F.monotonically_increasing_id()), "sorted")
     sorted_ = sorted_.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_c"))  # one row a partition
@@ -256,8 +281,8 @@ def _placed(recs: DataFrame, passes: list[list[str]]) -> DataFrame:
     return sorted_.join(F.broadcast(starts), "_p").withColumn("pos", F.col("_start") + F.col("_i")).drop("_m", "_p", "_i", "_start")
 
 
-def neighbours(recs: DataFrame, passes: list[list[str]], window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """``a, b``: records within the window of a pass that are the same product."""
+def neighbours(recs: DataFrame, passes: list[list[str]], window: int = WINDOW, block: int = BLOCK, names: DataFrame | None = None) -> DataFrame:
+    """``a, b``: records within the window of a pass that are the same product; ``names`` are those of :func:`article_names`."""
     placed = _placed(recs, passes)
     own = F.floor(F.col("pos") / block).cast("long")
     blocks = F.when((F.pmod("pos", F.lit(block)) < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
@@ -266,18 +291,21 @@ def neighbours(recs: DataFrame, passes: list[list[str]], window: int = WINDOW, b
         pdf = pdf.sort_values("pos")
         upto = int((pdf["_block"] == pdf["_own"]).sum())  # the rows after that belong to the next block
         pdf = pdf.astype(object).where(pdf.notna(), None)
-        rows = list(zip(*(pdf[c] for c in [*FIELDS, "article"])))
-        names, turns, out = list(pdf["rec"]), list(pdf["pass"]), []
+        rows = list(zip(*(pdf[c] for c in FIELDS)))
+        recs_, turns, out = list(pdf["rec"]), list(pdf["pass"]), []
         for i in range(upto):
             a = rows[i]
             for j in range(i + 1, min(i + window, len(rows))):
                 if turns[j] != turns[i]:
                     break
-                if a[5] == rows[j][5] and same_product(a, rows[j]):
-                    out.append((names[i], names[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                if a[5] == rows[j][5] and (alike := _aligned(a, rows[j])) is not False:
+                    out.append((recs_[i], recs_[j], alike is True))
+        return pd.DataFrame(out, columns=["a", "b", "sure"])
 
-    return placed.withColumn("_own", own).withColumn("_block", F.explode(blocks)).groupBy("_block").applyInPandas(compare, "a string, b string")
+    compared = placed.withColumn("_own", own).withColumn("_block", F.explode(blocks)).groupBy("_block").applyInPandas(compare, "a string, b string, sure boolean")
+    compared = materialize(compared, "compared")
+    sure, asked = compared.filter("sure").select("a", "b"), compared.filter("NOT sure").select("a", "b").distinct()
+    return sure.unionByName(same_names(asked, recs.select("rec", "article") if names is None else names))
 
 
 # correlation clustering -------------------------------------------------
@@ -311,7 +339,7 @@ def group_products(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     parsed = materialize(parse(listings), "parsed")
     resolved = materialize(resolve(parsed, *learn(parsed)).withColumn("rec", record_key()), "resolved")
     recs = materialize(records(resolved), "records")
-    merged = pivot_clusters(materialize(neighbours(recs, PASSES, window), "pairs"), recs)
+    merged = pivot_clusters(materialize(neighbours(recs, PASSES, window, names=article_names(resolved)), "pairs"), recs)
     total = recs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lookup = merged.join(recs.select("rec", "n"), "rec")
     placed = join_lookup(resolved.select("id", "rec"), lookup, ["rec"], "n", total, "left")

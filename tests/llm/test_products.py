@@ -123,3 +123,12 @@ def test_spelling_keys_of_long_words(spark, w, i, how):
     v = {"cut": w[:i] + w[i + 1 :], "put": w[:i] + "c" + w[i:], "swap": w[:i] + w[i + 1] + w[i] + w[i + 2 :], "set": w[:i] + "c" + w[i + 1 :]}[how]
     keys = spark.createDataFrame([(w, v)], "w string, v string").select(pr._spelling_keys(pr.F.col("w"), 3), pr._spelling_keys(pr.F.col("v"), 4)).first()
     assert lp.damerau_at_most_one(v, w) and set(keys[0]) & set(keys[1])
+
+
+def test_every_name_of_an_article_counts(spark):
+    rest = "acme ab1000 400 W color negro"
+    rows = [("i1", f"abanico {rest}", "QS1", []), ("i2", f"mesa {rest}", "QS1", []), ("i3", f"pesa {rest}", "QS1", []), ("i4", f"silla {rest}", "QS3", [])]
+    for k, (name, category) in enumerate([("abanico", "QS1"), ("mesa", "QS1"), ("pesa", "QS2"), ("silla", "QS3")]):
+        rows += [(f"x{k}{i:02d}", f"{name} zz{5000 + 100 * k + i} {300 + i} W color rojo", category, [("BRAND", "", "acme")]) for i in range(10)]
+    groups = {r.id: r.product for r in pr.group_products(spark.createDataFrame([(*r, "x", "x") for r in rows], SCHEMA)).collect()}
+    assert groups["i1"] == groups["i2"] == groups["i3"] != groups["i4"]
