@@ -118,8 +118,10 @@ def read_cells(resolved: DataFrame) -> DataFrame:
     return resolved.select("origin", "entity_id", "attr_id", "at", "tie", cell.alias("cell"), F.when(cell.isNull(), any_text).alias("failed"))
 
 
-def gather(cells: DataFrame) -> DataFrame:
-    """One row per entity with ``cells`` as a map and ``cast_failures``."""
+def gather(cells: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """One row per entity with ``cells`` as a map and ``cast_failures``; ``entities`` are kept without cells too."""
+    if entities is not None:
+        cells = cells.unionByName(entities.select("origin", "entity_id"), allowMissingColumns=True)
     place = F.struct(F.col("at"), F.col("tie"))
     one = cells.filter(F.col("entity_id").isNotNull()).groupBy("origin", "entity_id", "attr_id").agg(
         F.max(F.when(F.col("cell").isNotNull(), F.struct(place.alias("place"), F.col("cell")))).alias("good"),
@@ -151,9 +153,14 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").cast("string").alias("entity_id"), "loaded_at", F.explode("attributes").alias("k", "v")).select(F.lit("document").alias("origin"), "entity_id", F.col("k").alias("attr_key"), F.lit(None).cast("string").alias("attr_name"), "v.s", "v.n", "v.b", "v.a", F.col("loaded_at").alias("at"), F.lit(0).cast("bigint").alias("tie"))
 
 
-def pivot(rows: DataFrame, defs: DataFrame) -> DataFrame:
+def entities(item_attrs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``origin, entity_id`` of every row, also of those without any attribute."""
+    return item_attrs.select(F.lit("item").alias("origin"), F.col("item_id").alias("entity_id")).unionByName(docs.select(F.lit("document").alias("origin"), F.col("id").cast("string").alias("entity_id"))).distinct()
+
+
+def pivot(rows: DataFrame, defs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Entities as a map of cells; see :func:`project` for the typed columns."""
-    return gather(read_cells(resolve(rows, defs)))
+    return gather(read_cells(resolve(rows, defs)), entities)
 
 
 def unpivot(gathered: DataFrame) -> DataFrame:

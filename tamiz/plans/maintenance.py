@@ -51,10 +51,10 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 # p4 ---------------------------------------------------------------------
 
 
-def _gathered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    defs = table(spark, d, "attr_defs")
-    rows = wide.item_rows(table(spark, d, "item_attrs")).unionByName(wide.document_rows(table(spark, d, "catalog_docs")))
-    return wide.pivot(rows, defs), defs
+def _gathered(spark: SparkSession, d: str, all_entities: bool = False) -> tuple[DataFrame, DataFrame]:
+    defs, items, docs = (table(spark, d, t) for t in ("attr_defs", "item_attrs", "catalog_docs"))
+    rows = wide.item_rows(items).unionByName(wide.document_rows(docs))
+    return wide.pivot(rows, defs, wide.entities(items, docs) if all_entities else None), defs
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide.project(*_gathered(spark, d))
+    return wide.project(*_gathered(spark, d, all_entities=True))
 
 
 # p5 ---------------------------------------------------------------------

@@ -154,6 +154,18 @@ def test_document_members(spark):
     assert got == {("1", "WEIGHT"): "300", ("1", "WIRELESS"): "true", ("1", "COLOR"): "azul,verde", ("1", "BRAND"): "7"}
 
 
+def test_entities_without_cells_keep_a_row(spark, tmp_path):
+    from tamiz.plans import maintenance
+
+    t = dt.datetime(2024, 1, 1)
+    member = "struct<s:string,n:double,b:boolean,a:array<string>>"
+    defs(spark).write.parquet(str(tmp_path / "attr_defs.parquet"))
+    spark.createDataFrame([(1, "a", "BRAND", None, "Acme", t), (2, "b", "NOT_DEFINED", None, "x", t), (3, None, "BRAND", None, "x", t)], "row_id long, item_id string, id string, name string, value_name string, updated_at timestamp").write.parquet(str(tmp_path / "item_attrs.parquet"))
+    spark.createDataFrame([(1, t, {"BRAND": ("Luna", None, None, None)}), (2, t, None), (3, t, {}), (1, t, None), (None, t, None)], f"id long, loaded_at timestamp, attributes map<string,{member}>").write.parquet(str(tmp_path / "catalog_docs.parquet"))
+    got = sorted((r.origin, r.entity_id, r.brand, r.cast_failures) for r in maintenance.p4_wide(spark, str(tmp_path)).collect())
+    assert got == [("document", "1", "Luna", []), ("document", "2", None, []), ("document", "3", None, []), ("item", "a", "Acme", []), ("item", "b", None, [])]
+
+
 # profiles ---------------------------------------------------------------------
 
 
