@@ -15,8 +15,9 @@ Method: multi-pass sorted neighbourhood and correlation clustering.
    are pivots first.
 
 The window doesn't bound the listings of a product: equal records are joined
-before, exactly.  It bounds how many different records lie between two that
-differ in one part.
+before, exactly.  Nor does it bound the records that agree in all parts but the
+last of a pass: where these are more than the window, all that are the same
+product meet by keys of the last part (:func:`long_runs`).
 
 Lexicons are a table of all words with at least ``LEAST`` rows.  Those with a
 least share of all word occurrences, so that their number is bounded
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tamiz.llm.listing_parser import MEND_RATIO, Lexicon, damerau_at_most_one, parts
+from tamiz.llm.listing_parser import MEND_RATIO, Lexicon, Speller, damerau_at_most_one, parts
 from tamiz.operators.skew import join_lookup
 from tamiz.session import materialize, spread
 
@@ -305,7 +306,61 @@ def neighbours(recs: DataFrame, passes: list[list[str]], window: int = WINDOW, b
     compared = placed.withColumn("_own", own).withColumn("_block", F.explode(blocks)).groupBy("_block").applyInPandas(compare, "a string, b string, sure boolean")
     compared = materialize(compared, "compared")
     sure, asked = compared.filter("sure").select("a", "b"), compared.filter("NOT sure").select("a", "b").distinct()
-    return sure.unionByName(same_names(asked, recs.select("rec", "article") if names is None else names))
+    names = recs.select("rec", "article") if names is None else names
+    return sure.unionByName(same_names(asked, names)).unionByName(long_runs(recs, passes, window, names))
+
+
+# runs longer than the window --------------------------------------------
+
+
+def _last_keys(value: str) -> set[str]:
+    """Names that :func:`_soft` aligns share a key: their tokens, of the first two words without a letter."""
+    keys, free = [""], 2
+    for t in value.split():
+        if len(t) < 4 or not t.isalpha():
+            forms = {t}
+        elif not free:
+            forms = {"*"}
+        else:
+            forms, free = Speller._deletions(t) if len(t) <= LONG else {"<" + t[:15], ">" + t[-15:]}, free - 1
+            if len(t) in (LONG - 1, LONG):
+                forms = forms | {"<" + t[:15], ">" + t[-15:]}
+        keys = [f"{k} {f}" for k in keys for f in forms]
+    return set(keys)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of_last(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: list(_last_keys(v)))
+
+
+@F.pandas_udf(T.BooleanType())
+def _softly_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_soft(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+def long_runs(recs: DataFrame, passes: list[list[str]], window: int, names: DataFrame) -> DataFrame:
+    """``a, b`` of the runs that agree in all parts but the last of a pass and are longer than the window: all pairs that are the same product, by keys of the last part."""
+
+    def place(i: int, order: list[str]) -> Column:
+        key = F.concat_ws("\x01", F.lit(str(i)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order[:-1]))
+        stated = sum((F.col(c).isNotNull().cast("int") for c in order[:-1] if c != "pack"), F.lit(0))
+        return F.struct(key.alias("run"), F.lit(order[-1]).alias("role"), F.col(order[-1]).cast("string").alias("last"), stated.alias("stated"))
+
+    rows = recs.select("rec", F.explode(F.array(*(place(i, o) for i, o in enumerate(passes)))).alias("x")).select("rec", "x.*").filter("stated >= 3")
+    runs = rows.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") > window)
+    members = materialize(rows.join(runs.select("run"), "run", "left_semi"), "runs")
+    there = members.filter(F.col("last").isNotNull())
+    absent = members.filter(F.col("last").isNull() & (F.col("stated") >= 4)).select("run", F.col("rec").alias("a")).join(there.select("run", F.col("rec").alias("b")), "run").select("a", "b")
+    spelled = there.filter(F.col("role").isin("brand", "model")).select("run", "rec", "last", F.explode(_keys_of_last("last")).alias("key"))
+    named = there.filter("role = 'kind'").select("run", "rec").join(names, "rec").select("run", "rec", F.col("article").alias("last"), F.explode(_spelling_keys(F.col("article"), 1)).alias("key"))
+
+    def alike(keyed: DataFrame, ordered: Column, test) -> DataFrame:
+        one, two = (keyed.select("run", "key", F.col("rec").alias(c), F.col("last").alias(f"last_{c}")) for c in "ab")
+        met = one.join(two, ["run", "key"]).filter(ordered).select("a", "b", "last_a", "last_b").distinct()
+        return met.filter(test("last_a", "last_b")).select("a", "b").distinct()
+
+    return absent.unionByName(alike(spelled, F.expr("last_a < last_b"), _softly_alike)).unionByName(alike(named, F.expr("a < b"), _letters_alike))
 
 
 # correlation clustering -------------------------------------------------

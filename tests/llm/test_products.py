@@ -132,3 +132,13 @@ def test_every_name_of_an_article_counts(spark):
         rows += [(f"x{k}{i:02d}", f"{name} zz{5000 + 100 * k + i} {300 + i} W color rojo", category, [("BRAND", "", "acme")]) for i in range(10)]
     groups = {r.id: r.product for r in pr.group_products(spark.createDataFrame([(*r, "x", "x") for r in rows], SCHEMA)).collect()}
     assert groups["i1"] == groups["i2"] == groups["i3"] != groups["i4"]
+
+
+def test_runs_longer_than_the_window(spark):
+    brands = [f"{c}airrais" for c in "abcdefghijklmnopqrst"] + [None, "otramarca"]
+    rows = [("k", b, "m1", "s", "c", 1, 1, "art", f"r{i:02d}") for i, b in enumerate(brands)]
+    rows += [(f"k{i}", "b", "m2", "s", "c", 1, 1, f"mes{'abcdefghijklmnop'[i]}", f"s{i:02d}") for i in range(15)]
+    df = spark.createDataFrame(rows, "kind string, brand string, model string, size string, color string, pack long, n long, article string, rec string")
+    got = {tuple(sorted(r)) for r in pr.neighbours(df, pr.PASSES).collect()}
+    alike = [f"r{i:02d}" for i in range(21)]
+    assert got == {*combinations(alike, 2), ("r20", "r21"), *combinations([f"s{i:02d}" for i in range(15)], 2)}
