@@ -13,6 +13,8 @@ leaves the table as it is; columns of the feed that aren't named don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,16 @@ def fold(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(last).select(*by, "last.place", "last.deleted", "last.content")
 
 
-def open_table(spark: SparkSession, path: str, changes: DataFrame, buckets: int = 32) -> BucketTable:
+def later(old: Callable[[str], Column], new: Callable[[str], Column], alone: Column) -> dict[str, Column]:
+    """Of the stored and the new last change of a key, the one with the highest place."""
+    parts = ["place", "deleted", "content"]
+    wins = alone | (F.struct(*map(new, parts)) > F.struct(*map(old, parts)))
+    return {c: F.when(wins, new(c)).otherwise(old(c)) for c in parts}
+
+
+def open_table(spark: SparkSession, path: str, changes: DataFrame, buckets: int | None = None) -> BucketTable:
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in changes.schema])
-    return BucketTable(spark, path, schema, ["key"], fold, buckets)
+    return BucketTable(spark, path, schema, ["key"], fold, later, buckets)
 
 
 def live(table: DataFrame) -> DataFrame:

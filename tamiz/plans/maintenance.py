@@ -79,7 +79,7 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
     if lo is not None:
         step = max(1, -(-(hi - lo + 1) // MAX_COMMITS))
         for start in range(lo, hi + 1, step):
-            state.commit(changes.filter(F.col("place.wal_gen").between(start, start + step - 1)))
+            state.commit(changes.filter(F.col("place.wal_gen").between(start, start + step - 1)), "feed", start)
     return changefeed.live(state.read())
 
 

@@ -19,16 +19,16 @@ def _trigger(writer, available_now: bool, seconds: int):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
 
 
-def upsert_stream(changes: DataFrame, state: Callable[[DataFrame], BucketTable], checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
+def upsert_stream(changes: DataFrame, state: Callable[[DataFrame], BucketTable], checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, writer: str | None = None) -> StreamingQuery:
     """Applies a stream of normalized changes to a bucket table.
 
-    A batch that is delivered again after a failure changes nothing: the fold
-    keeps the last change of a key, and the same change is its own equal.
+    A batch that is delivered again after a failure changes nothing: the table
+    holds the number of the last batch of ``writer`` (the checkpoint's name
+    unless given), and of a key the same change is its own equal.
     """
 
-    def commit(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            state(batch).commit(batch)
+    def commit(batch: DataFrame, number: int) -> None:
+        state(batch).commit(batch, writer or checkpoint, number)
 
     return _trigger(changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint), available_now, seconds).start()
 

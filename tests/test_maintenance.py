@@ -64,27 +64,83 @@ def test_one_key_with_a_third_of_all_rows(spark):
 
 def test_only_touched_buckets_are_rewritten(spark):
     table = state(spark, feed(spark, [(0, 0, i, "index", i, "a") for i in range(40)]), buckets=8)
-    before = table.manifest()
+    before = table.manifest()["files"]
     table.commit(normal(feed(spark, [(0, 1, 1, "index", 5, "b")])))
-    after = table.manifest()
+    after = table.manifest()["files"]
     assert sum(before[b] != after[b] for b in before) == 1 and table.version() == 2
     assert rows_of(table)[5] == (5, 1, 1, "b")
     assert table.read(version=1).filter("content.title = 'b'").count() == 0  # the older version still reads
 
 
-def test_two_writers_one_wins(spark):
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+SUMS = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def sums(spark, path, buckets=None):
     add = lambda rows, by: rows.groupBy(*by).agg(F.sum("n").alias("n"))
+    return BucketTable(spark, path, SUMS, ["k"], add, lambda old, new, alone: {"n": new("n") + F.coalesce(old("n"), F.lit(0))}, buckets)
+
+
+def test_two_writers_one_wins(spark):
     path = scratch_path(spark, "w")
-    one, two = (BucketTable(spark, path, schema, ["k"], add, 2) for _ in range(2))
-    one.commit(spark.createDataFrame([(1, 1)], schema))
-    late = spark.createDataFrame([(1, 1)], schema)
-    two.merge = lambda rows, by: (one.commit(late), add(rows, by))[1]  # the other writer is done first
+    one, two = sums(spark, path, 2), sums(spark, path, 2)
+    one.commit(spark.createDataFrame([(1, 1)], SUMS))
+    late, reduce = spark.createDataFrame([(1, 1)], SUMS), two.reduce
+    two.reduce = lambda rows, by: (one.commit(late), reduce(rows, by))[1]  # the other writer is done first
     with pytest.raises(Exception):
-        two.commit(spark.createDataFrame([(1, 5)], schema))
+        two.commit(spark.createDataFrame([(1, 5)], SUMS))
     assert [tuple(r) for r in one.read().collect()] == [(1, 2)]
 
 
+def test_a_batch_counts_once_however_often_it_comes(spark):
+    table = sums(spark, scratch_path(spark, "w"))
+    batch = spark.createDataFrame([(1, 1), (1, 4), (2, 7), (None, 9)], SUMS)
+    for number in (0, 0, 1, 0, 1):
+        table.commit(batch, "feed", number)
+    table.commit(batch, "other", 0)
+    assert sorted(map(tuple, table.read().collect())) == [(1, 15), (2, 21)] and table.version() == 3
+    assert table.commit(batch.filter("false")) == 3
+
+
+def test_stored_rows_do_not_move(spark):
+    from tamiz.operators.buckets import shuffle_partitions
+
+    table = sums(spark, scratch_path(spark, "w"), 8)
+    table.commit(spark.range(500).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n")))
+    held = table.manifest()
+    with shuffle_partitions(spark, 8):
+        new, _ = table._write(spark.createDataFrame([(i, 1) for i in range(400, 600)], SUMS), "data/9-x/new", 8)
+        plan = table._merged(table._open(8, held["files"]), table._open(8, new))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2 and "SortMergeJoin" in plan
+
+
+def test_files_of_old_versions_go(spark):
+    path = scratch_path(spark, "w")
+    table = sums(spark, path, 4)
+    for i in range(12):
+        table.commit(spark.createDataFrame([(k, 1) for k in (range(100) if not i else range(i, i + 3))], SUMS))
+    folder = table._manifests._path(f"{path}/data")
+    files, walk = [], table._manifests._fs.listFiles(folder, True)
+    while walk.hasNext():
+        files.append(walk.next().getPath().getName())
+    kept = {f for v in (table.version(), table.version() - 1) for fs in table.manifest(v)["files"].values() for f in fs}
+    assert len([f for f in files if f.endswith(".parquet") and f[0] != "."]) <= len(kept) + 4 and len(table._manifests._numbers()) == 2
+    assert table.read().agg(F.sum("n")).first()[0] == 133 and table.read(table.version() - 1).agg(F.sum("n")).first()[0] == 130
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    from tamiz.operators import buckets
+
+    table = sums(spark, scratch_path(spark, "w"))
+    grow = lambda lo, hi: table.commit(spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n")))
+    grow(0, 100)
+    assert table.manifest()["buckets"] == buckets.LEAST_BUCKETS
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", 300)
+    grow(50, 150)
+    assert table.manifest()["buckets"] > buckets.LEAST_BUCKETS
+    grow(100, 200)
+    assert sorted(map(tuple, table.read().collect())) == [(k, 1 + (50 <= k < 150 and k < 100 or 100 <= k < 150)) for k in range(200)]
+
+
 def test_an_unfinished_version_does_not_count(spark, tmp_path):
     m = Manifests(spark, str(tmp_path / "m"))
     assert m.latest() == (0, None) and m.publish(0, {"a": 1}) == 1
