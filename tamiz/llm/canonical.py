@@ -3,9 +3,9 @@
 Method: incremental ledger.  A record's canonical key is the hash of its
 canonical title and its sorted canonical description fields.  The ledger is a
 bucketed table of key, number of records and earliest representative; a new
-batch is aggregated by key, and only the buckets it touches are read, merged by
-outer join (as a fold over both sides: counts add, the smallest id stays) and
-replaced.
+batch is aggregated by key and joined, full outer and bucket by bucket, with
+the buckets it touches: counts add, the smallest id stays.  A batch that comes
+with its number is counted once however often it is delivered.
 
 A group with a third of all records is one ledger row; its members find it by a
 broadcast of the heavy keys, whose number is bounded (``join_lookup``).
@@ -17,6 +17,8 @@ in the pairs; an empty table gives an empty ledger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,12 +63,16 @@ def _fold(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("n_records").alias("n_records"), F.min("keep_id").alias("keep_id"))
 
 
-def open_ledger(spark: SparkSession, path: str, buckets: int = 32) -> BucketTable:
-    return BucketTable(spark, path, SCHEMA, ["key"], _fold, buckets)
+def _add(old: Callable[[str], Column], new: Callable[[str], Column], alone: Column) -> dict[str, Column]:
+    return {"n_records": new("n_records") + F.coalesce(old("n_records"), F.lit(0)), "keep_id": F.least(old("keep_id"), new("keep_id"))}
+
+
+def open_ledger(spark: SparkSession, path: str, buckets: int | None = None) -> BucketTable:
+    return BucketTable(spark, path, SCHEMA, ["key"], _fold, _add, buckets)
 
 
-def add_batch(ledger: BucketTable, rows: DataFrame) -> int:
-    return ledger.commit(cases(rows).groupBy("key").agg(F.count("*").alias("n_records"), F.min("id").alias("keep_id")))
+def add_batch(ledger: BucketTable, rows: DataFrame, writer: str | None = None, number: int | None = None) -> int:
+    return ledger.commit(cases(rows).select("key", F.lit(1).alias("n_records"), F.col("id").alias("keep_id")), writer, number)
 
 
 def copies(rows: DataFrame, ledger: DataFrame) -> DataFrame:

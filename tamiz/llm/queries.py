@@ -51,8 +51,8 @@ def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     if lo is not None:
         step = max(1, -(-(hi - lo + 1) // MAX_BATCHES))
         for start in range(lo, hi + 1, step):
-            canonical.add_batch(ledger, rows.filter(F.col("load_id").between(start, start + step - 1)))
-    canonical.add_batch(ledger, rows.filter(F.col("load_id").isNull()))
+            canonical.add_batch(ledger, rows.filter(F.col("load_id").between(start, start + step - 1)), "loads", start)
+    canonical.add_batch(ledger, rows.filter(F.col("load_id").isNull()), "no load", 0)
     return rows, ledger.read()
 
 

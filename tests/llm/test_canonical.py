@@ -47,3 +47,11 @@ def test_one_group_with_a_third(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}", A + " w" * 5000 * (i == 0), 1) for i in range(300)]
     rows[0] = (0, "hot", A, 1)
     assert run(spark, rows)[0] == [(0, i) for i in range(3, 300, 3)]
+
+
+def test_a_batch_delivered_twice_counts_once(spark):
+    ledger = ca.open_ledger(spark, scratch_path(spark, "l"))
+    rows = ca.keyed(docs(spark, [(1, "a", A, 1), (2, "A", A, 1)]))
+    for _ in range(2):
+        ca.add_batch(ledger, rows, "loads", 1)
+    assert [tuple(r)[1:] for r in ledger.read().collect()] == [(2, 1)]
