@@ -20,8 +20,7 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    return frequency.mark(frequency.statistics(frequency.build_index(tokens)), frequency.records_of_fields(tokens))
+    return frequency.mark(materialize(frequency.statistics(frequency.build_index(_tokens(spark, d))), "terms"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +119,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_method(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.line_filter(table(spark, d, "documents"), "seller_id")
+    """The corpus comes from one site, so it is one host; a line that two of its documents hold is removed."""
+    return repetition.line_filter(table(spark, d, "documents"), None, limit=1)
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +141,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_repeated FROM w LEFT JOIN
 
 
 _P9_METHOD = r"""
-WITH l AS (SELECT doc_id, coalesce(CAST(seller_id AS VARCHAR), '') AS host, trim(regexp_replace(lower(unnest(regexp_split_to_array(text, '\r\n|[\n\x{0b}\x{0c}\r\x{85}\x{2028}\x{2029}]'))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM documents),
-h AS (SELECT host, line FROM l WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 3),
+WITH l AS (SELECT doc_id, '' AS host, trim(regexp_replace(lower(unnest(regexp_split_to_array(text, '\r\n|[\n\x{0b}\x{0c}\r\x{85}\x{2028}\x{2029}]'))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line FROM documents),
+h AS (SELECT host, line FROM l WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT l.*, h.line IS NOT NULL AS gone FROM l LEFT JOIN h USING (host, line) WHERE l.line <> '')
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(length(line)) FILTER (WHERE NOT gone), 0) / sum(length(line)) AS kept_share,
   coalesce(sum(length(line)) FILTER (WHERE NOT gone), 0) / sum(length(line)) < 0.5 AS rejected

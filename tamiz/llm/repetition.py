@@ -60,14 +60,14 @@ def repeated_share(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     return measured.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
-def line_filter(docs: DataFrame, host: str, key: str = "doc_id", text: str = "text", limit: int = 3, keep_share: float = 0.5) -> DataFrame:
+def line_filter(docs: DataFrame, host: str | None, key: str = "doc_id", text: str = "text", limit: int = 3, keep_share: float = 0.5) -> DataFrame:
     """``key, n_lines, n_removed, kept_share, rejected``: lines in more than ``limit`` documents of a host are removed.
 
-    A document with less than ``keep_share`` of its line characters left is
+    Without ``host`` the whole corpus is one.  A document with less than ``keep_share`` of its line characters left is
     rejected; one without lines is not.
     """
     lines = (
-        docs.select(key, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.explode_outer(F.split(F.col(text), r"\R")).alias("_line"))
+        docs.select(key, (F.lit("") if host is None else F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("_host"), F.explode_outer(F.split(F.col(text), r"\R")).alias("_line"))
         .withColumn("_line", F.trim(F.regexp_replace(F.lower("_line"), NOT_WORD, " ")))
         .filter(F.col("_line") != "")
         .select(key, "_host", F.unhex(F.md5("_line")).alias("_hash"), F.length("_line").alias("_size"))
@@ -76,7 +76,7 @@ def line_filter(docs: DataFrame, host: str, key: str = "doc_id", text: str = "te
     # written, since it is read three times and its plan would be pruned and filtered into three
     per_doc = materialize(lines.groupBy("_host", "_hash", key).agg(F.count("*").alias("_n"), F.first("_size").alias("_size")), "lines")
     held = per_doc.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > limit)
-    total = docs.count()
+    total = per_doc.count()  # a third of these may hold one line
     marked = join_lookup(per_doc, held, ["_host", "_hash"], "_docs", total, "left")
     sums = marked.groupBy(key).agg(
         F.sum("_n").alias("n_lines"),

@@ -40,7 +40,7 @@ def brute(rows):
 
 
 def read(index):
-    return {(r.field, r.term): (r.occurrences, r.records) for r in fr.statistics(index).collect()}
+    return {(r.field, r.term): (r.occurrences, r.records) for r in fr.statistics(index).collect() if r.term is not None}
 
 
 def test_counts_merge_and_marks(spark):
@@ -50,14 +50,23 @@ def test_counts_merge_and_marks(spark):
     merged = fr.merge_indexes(fr.build_index(tokens(spark, rows[:900])), fr.build_index(tokens(spark, rows[700:])))
     twice = brute(rows[:900] + rows[700:])
     assert read(merged) == twice
-    n = {r.field: r.field_records for r in fr.records_of_fields(tokens(spark, rows)).collect()}
+    n = {r.field: r.field_records for r in fr.records_of_fields(fr.statistics(fr.build_index(tokens(spark, rows)))).collect()}
     assert n == {"f": len({r for _, _, r in rows if r is not None})}
-    marks = fr.mark(fr.statistics(fr.build_index(tokens(spark, rows))), fr.records_of_fields(tokens(spark, rows)))
+    marks = fr.mark(fr.statistics(fr.build_index(tokens(spark, rows))))
     for r in marks.collect():
         assert r.finding == ("rare" if r.records <= 2 else "common" if r.records > 0.2 * n["f"] else None)
 
 
 def test_empty(spark):
     empty = tokens(spark, [])
-    assert read(fr.build_index(empty)) == {} and fr.records_of_fields(empty).count() == 0
-    assert fr.mark(fr.statistics(fr.build_index(empty)), fr.records_of_fields(empty)).count() == 0
+    assert read(fr.build_index(empty)) == {} and fr.records_of_fields(fr.statistics(fr.build_index(empty))).count() == 0
+    assert fr.mark(fr.statistics(fr.build_index(empty))).count() == 0
+
+
+def test_containers_before_the_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(f, t, rng.choice([None, -1, 5, rng.randrange(70_000)])) for f in "fg" for t in ["hot"] * 30 + list("abc") for _ in range(20)] + [("f", None, 1)]
+    few = fr.containers(tokens(spark, rows).coalesce(2), rows=100)
+    assert few.count() < len(rows) * 2 and read(fr.unite(few)) == brute([r for r in rows if r[1]])
+    plan = fr.build_index(tokens(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # plans are printed from the last step to the first

@@ -39,3 +39,10 @@ def test_line_filter(spark):
     assert (got[10].n_removed, got[10].kept_share, got[10].rejected) == (2, 0.0, True)
     assert not got[11].rejected and not got[14].rejected
     assert re_.line_filter(df.filter("false"), "seller_id").count() == 0
+
+
+def test_some_lines_are_removed_and_some_documents_rejected(spark, data):
+    from tamiz.llm import queries
+
+    got = queries.p9_method(spark, data.replace("sf0.001", "sf0.01")).collect()
+    assert any(r.n_removed and not r.rejected for r in got) and any(r.rejected for r in got) and any(not r.n_removed for r in got)
