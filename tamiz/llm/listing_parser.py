@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 from collections import ChainMap
+from functools import lru_cache
 
 
 # Colour names in Spanish, Portuguese and English.
@@ -48,6 +49,7 @@ PACK_WORDS = "unidades|units|unids|pzas|piezas|pcs|un|u"
 PACK_HEADS = "pack|kit|set|combo|lote|caja"
 # A word is mended to one so many times as frequent.
 MEND_RATIO = 5
+MEMORY = 200_000  # readings of words that a task remembers
 DIMENSIONS = {"POWER": "w", "CAPACITY": "ml", "STORAGE": "gb", "LENGTH": "mm", "WEIGHT": "g", "SHOE_SIZE": "size"}
 
 # standard patterns, not those of the regex package: twice as fast here; folded text has no marks to look after
@@ -103,28 +105,34 @@ def read_model(text: str) -> tuple[str | None, tuple[str, str, str] | None]:
     return None, None
 
 
+@lru_cache(1 << 16)
+def read_attribute(name: str | None, value: str | None) -> tuple[tuple[str, object], ...]:
+    """The parts that one attribute states; the same few attributes come again and again."""
+    key, value = (name or "").strip().upper(), fold(value).strip()
+    if not value:
+        return ()
+    if key == "BRAND":
+        return (("brand_a", " ".join(_WORD.findall(value)) or None),)
+    if key in ("MODEL", "LINE"):
+        code, line = read_model(value)
+        return (("code_a", code),) if code else (("line_a", line),) if line else ()
+    if key == "COLOR":
+        return (("color_a", COLORS.get(value, value)),)
+    if key == "PACK_UNITS":
+        m = _DIGITS.search(value)
+        return (("pack_a", int(m.group())),) if m else ()
+    size = read_size(value, DIMENSIONS[key]) if key in DIMENSIONS else None
+    return (("size_a", size),) if size else ()
+
+
 def parts(title: str | None, attributes) -> dict:
     """What title and attributes say: ``*_a`` from attributes, ``*_t`` from the title, ``words`` the rest of the title."""
     out = dict.fromkeys(("brand_a", "code_a", "line_a", "color_a", "pack_a", "size_a", "code_t", "color_t", "pack_t", "size_t"))
     out["lines_t"] = []
     for x in attributes if attributes is not None else ():
-        if x is None:
-            continue
-        key, value = (x["id"] or "").strip().upper(), fold(x["value_name"]).strip()
-        if not value:
-            continue
-        if key == "BRAND":
-            out["brand_a"] = " ".join(_WORD.findall(value)) or None
-        elif key in ("MODEL", "LINE"):
-            code, line = read_model(value)
-            out["code_a"], out["line_a"] = code or out["code_a"], line or out["line_a"]
-        elif key == "COLOR":
-            out["color_a"] = COLORS.get(value, value)
-        elif key == "PACK_UNITS":
-            if m := _DIGITS.search(value):
-                out["pack_a"] = int(m.group())
-        elif key in DIMENSIONS:
-            out["size_a"] = read_size(value, DIMENSIONS[key]) or out["size_a"]
+        if x is not None:
+            for part, value in read_attribute(x["id"], x["value_name"]):
+                out[part] = value
     t = " ".join(fold(title).split())
 
     def take(pattern: re.Pattern) -> re.Match | None:
@@ -229,6 +237,7 @@ class Lexicon:
         self.weights = self._weigh({w: x for w, x in kinds.items() if w not in named}, priors)
         self._brand_speller, self._first_speller, self._second_speller = Speller(brands), Speller(firsts), Speller(seconds)
         self._kind_speller = Speller({w: kinds[w][0] for w in self.weights})
+        self._seen: dict[tuple[str, str], object] = {}
 
     def _weigh(self, kinds: dict[str, tuple[int, dict[str, int]]], priors: dict[str, int]) -> dict[str, tuple[float, dict[str, float]]]:
         weights, alpha = {}, self.alpha
@@ -250,8 +259,18 @@ class Lexicon:
         out.weights = ChainMap(weights, self.weights)
         out._brand_speller, out._first_speller, out._second_speller = self._brand_speller.with_words(brands), self._first_speller.with_words(firsts), self._second_speller.with_words(seconds)
         out._kind_speller = self._kind_speller.with_words({w: rows[w] for w in weights})
+        out._seen = {}
         return out
 
+    def _once(self, what: str, w: str, read):
+        """``read(w)``, remembered: most words come again."""
+        key = (what, w)
+        if key not in self._seen:
+            if len(self._seen) >= MEMORY:
+                self._seen.clear()
+            self._seen[key] = read(w)
+        return self._seen[key]
+
     def _mend(self, speller: Speller, w: str, ratio: int = MEND_RATIO) -> str | None:
         """The word itself, or a word within one typing error that is ``ratio`` times as frequent."""
         if w in speller.words:
@@ -259,15 +278,19 @@ class Lexicon:
         near = speller.mend(w)
         return near if near and self.rows.get(w, self.unseen) * ratio <= speller.words[near] else None
 
+    def _brand(self, w: str) -> str | None:
+        return self._once("brand", w, lambda x: self._mend(self._brand_speller, x))
+
     def brand(self, words: list[str]) -> str | None:
         exact = [w for w in words if w in self.brands]
         if exact:
             return exact[0]
-        return next((b for w in words if w not in self.weights and len(w) >= 4 and (b := self._mend(self._brand_speller, w))), None)
+        return next((b for w in words if w not in self.weights and len(w) >= 4 and (b := self._brand(w))), None)
 
     def line(self, lines) -> tuple[str, str, str] | None:
         for first, second, number in lines:
-            f, s = self._mend(self._first_speller, first), self._mend(self._second_speller, second)
+            f = self._once("first", first, lambda x: self._mend(self._first_speller, x))
+            s = f and self._once("second", second, lambda x: self._mend(self._second_speller, x))
             if f and s:
                 return f, s, number
         return None
@@ -283,7 +306,7 @@ class Lexicon:
         return next(([w[:i], w[i:]] for i in range(3, len(w) - 2) if w[:i] in self.weights and w[i:] in self.weights), [])
 
     def kind(self, words: list[str]) -> str | None:
-        known = [self.weights[k] for w in words for k in self._kind_words(w)]
+        known = [self.weights[k] for w in words for k in self._once("kind", w, self._kind_words)]
         scores = {c: sum(by.get(c, floor) for floor, by in known) for c in {c for _, by in known for c in by}}
         best = max(scores, key=lambda c: (scores[c], c), default=None)
         return best if best is not None and scores[best] > 0 else None
@@ -291,7 +314,7 @@ class Lexicon:
     def article(self, words: list[str]) -> str:
         """Words that name the article, or are too rare to be known, without blanks: what survives a misplaced blank."""
         skip = lambda w: w in COLORS or w in self.brands or w in self.firsts or w in self.seconds or not w.isalpha()
-        return "".join(w for w in words if not skip(w) and (w in self.weights or w not in self.rows) and not (w not in self.weights and self._mend(self._brand_speller, w)))
+        return "".join(w for w in words if not skip(w) and (w in self.weights or w not in self.rows) and not (w not in self.weights and self._brand(w)))
 
     def resolve(self, p: dict) -> dict:
         """Kind, brand, model, size, colour and pack of one listing; null where neither title nor attributes say it."""

@@ -4,26 +4,30 @@ Method: multi-pass sorted neighbourhood and correlation clustering.
 
 1. Every listing is read into kind of article, brand, model, size, colour and
    pack, with lexicons learned from all rows (see ``listing_parser``).
-2. Listings that read the same are one *record* with a count, so copies never
-   meet each other in pairs and a product with a third of all rows is one row.
-3. Records are range-sorted by several keys.  Each key puts the parts in
-   another order, one part last, so that records which agree in all others are
-   neighbours however that part is spelled or missing.  Within a sliding window
-   neighbours are compared by soft token alignment; where only their kinds
-   differ, by all names that their listings give the article.
+2. The first pass sorts all listings by a key of their normalised parts.  The
+   window's first listing leads it; while the next ones align with it in every
+   part the window moves on, and they are contracted into their leader, a
+   *record* with a count.  So copies never meet each other in pairs, and a
+   product with a third of all rows is led, not paired (:func:`leaders`).
+3. The further passes sort the records by several keys.  Each key puts the parts
+   in another order, one part last, so that records which agree in all others
+   are neighbours however that part is spelled or missing.  Within a sliding
+   window neighbours are compared by soft token alignment; where only their
+   kinds differ, by all names that their listings give the article.
 4. Correlation clustering by pivots joins the records; those with more listings
    are pivots first.
 
-The window doesn't bound the listings of a product: equal records are joined
-before, exactly.  Nor does it bound the records that agree in all parts but the
-last of a pass: where these are more than the window, all that are the same
-product meet by keys of the last part (:func:`long_runs`).
+The window doesn't bound the listings of a product: it moves on with them.  Nor
+does it bound the records that agree in all parts but the last of a pass: where
+these are more than the window, all that are the same product meet by keys of
+the last part (:func:`long_runs`).
 
 Lexicons are a table of all words with at least ``LEAST`` rows.  Those with a
 least share of all word occurrences, so that their number is bounded
 (``MAX_WORDS``) whatever the data, are broadcast; the others are joined by
-shuffle to the words that are, misspell or run together one of them.  Sorting is global but in slices: rows are placed by range
-partition and compared in blocks of ``BLOCK`` rows with an overlap.
+shuffle to the words that are, misspell or run together one of them.  Sorting is
+global but in slices: rows are placed by range partition and compared in blocks
+of ``BLOCK`` rows with an overlap.
 
 Defined results: a listing without id is ignored; repeated rows count once; a
 listing of which nothing but the pack is known is a group of its own; a part
@@ -36,7 +40,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,18 +202,62 @@ def resolve(parsed: DataFrame, lexicon: Lexicon, rare: DataFrame | None = None)
     return parsed.drop("category").mapInPandas(run, _RESOLVED)
 
 
-def record_key() -> F.Column:
-    return F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("\\N")) for f in FIELDS))
+# the first pass -----------------------------------------------------------
 
 
-def records(resolved: DataFrame) -> DataFrame:
-    """Distinct readings with their listings counted."""
-    return resolved.groupBy(*FIELDS).agg(F.count("*").alias("n")).withColumn("rec", record_key())
+def token_key(order: list[str]) -> Column:
+    """The normalised parts in an order, as one text to sort by."""
+    return F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
 
 
-def article_names(resolved: DataFrame) -> DataFrame:
+def leaders(rows: DataFrame, spread_ties: bool) -> DataFrame:
+    """``rows`` of ``key, rec, ...`` with ``leader`` in place of the key: in order of their keys, the first ``rec`` of the window with which a row aligns in every part.
+
+    With ``spread_ties`` a task takes any stretch of the order, however many
+    rows share a key; a run cut between tasks has a leader in each.  Without, a
+    run is in one task.
+    """
+    kept = [f for f in rows.schema if f.name != "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rec = b.column("key"), b.column("rec")
+            goes_on = np.r_[key[0].as_py() == last, pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)].astype(bool)
+            first = np.maximum.accumulate(np.where(goes_on, -1, np.arange(len(goes_on))))
+            found = pa.concat_arrays([pa.array([leader], rec.type), rec]).take(pa.array(first + 1))  # at 0 stands the leader of a run begun before
+            last, leader = key[-1].as_py(), found[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), found], names=[*(f.name for f in kept), "leader"])
+
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ties = ["rec"] if spread_ties else []
+    return rows.repartitionByRange(n, "key", *ties).sortWithinPartitions("key", "rec").mapInArrow(run, T.StructType([*kept, T.StructField("leader", T.StringType())]))
+
+
+def contract(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, rec, article`` of all listings, and their records ``rec, n`` and parts.
+
+    Runs are led twice: by stretches of any size, and then, of the leaders that
+    a run has in several tasks, by whole runs, of which none is longer than
+    there were tasks.
+    """
+    rows = resolved.select("*", token_key(PASSES[0]).alias("key"))
+    rows = rows.withColumn("rec", F.concat_ws(":", "id", F.hex(F.xxhash64("key"))))  # an id may come with several readings
+    one = materialize(leaders(rows, True), "led")
+    sizes = one.groupBy("leader").agg(F.count("*").alias("n"))
+    heads = one.filter(F.col("rec") == F.col("leader")).select("rec", *FIELDS).dropDuplicates(["rec"]).join(sizes.withColumnRenamed("leader", "rec"), "rec")
+    two = materialize(leaders(materialize(heads.select(token_key(PASSES[0]).alias("key"), "*"), "heads"), False), "leaders")
+    recs = two.groupBy(F.col("leader").alias("rec"), *FIELDS).agg(F.sum("n").alias("n"))
+    lookup = two.select(F.col("rec").alias("leader"), F.col("leader").alias("top"), "n")
+    placed = join_lookup(one.select("id", "article", "leader"), lookup, ["leader"], "n", resolved.count())
+    return materialize(placed.select("id", F.col("top").alias("rec"), "article"), "placed"), materialize(recs, "records")
+
+
+def article_names(placed: DataFrame) -> DataFrame:
     """``rec, article``: every name that the listings of a record give the article."""
-    return resolved.filter(F.col("article") != "").select("rec", "article").distinct()
+    return placed.filter(F.col("article") != "").select("rec", "article").distinct()
 
 
 # comparison -------------------------------------------------------------
@@ -392,25 +443,26 @@ def pivot_clusters(edges: DataFrame, weights: DataFrame) -> DataFrame:
 def group_products(listings: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id, product``: every listing with the product it offers."""
     parsed = materialize(parse(listings), "parsed")
-    resolved = materialize(resolve(parsed, *learn(parsed)).withColumn("rec", record_key()), "resolved")
-    recs = materialize(records(resolved), "records")
-    merged = pivot_clusters(materialize(neighbours(recs, PASSES, window, names=article_names(resolved)), "pairs"), recs)
+    placed, recs = contract(materialize(resolve(parsed, *learn(parsed)), "resolved"))
+    merged = pivot_clusters(materialize(neighbours(recs, PASSES, window, names=article_names(placed)), "pairs"), recs)
     total = recs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lookup = merged.join(recs.select("rec", "n"), "rec")
-    placed = join_lookup(resolved.select("id", "rec"), lookup, ["rec"], "n", total, "left")
-    return placed.select("id", F.coalesce("root", "rec").alias("product")).distinct()
+    grouped = join_lookup(placed.select("id", "rec"), lookup, ["rec"], "n", total, "left")
+    return grouped.select("id", F.coalesce("root", "rec").alias("product")).distinct()
 
 
 def pairs(groups: DataFrame, per_task: int = 1000) -> DataFrame:
     """``id_a, id_b``: the pairs of listings of each product.
 
-    The result is quadratic in a product's listings by definition; a large
-    product is spread over as many salts as it has thousands of listings.
+    The result is quadratic in a product's listings by definition.  A product
+    of n listings is cut into n / ``per_task`` parts, and every two parts, or a
+    part with itself, meet in a task of their own.
     """
     groups = materialize(groups.select("id", F.unhex(F.md5("product")).alias("product")), "groups")
-    sizes = groups.groupBy("product").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("salts", F.ceil(F.col("n") / per_task).cast("int"))
-    total = groups.count()
-    members = materialize(join_lookup(groups, sizes, ["product"], "n", total).select("id", "product", "salts"), "members")
-    left = members.select(F.col("id").alias("id_a"), "product", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    right = members.select(F.col("id").alias("id_b"), "product", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["product", "salt"]).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    sizes = groups.groupBy("product").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / per_task).cast("int"))
+    members = join_lookup(groups, sizes, ["product"], "n", groups.count())
+    members = materialize(members.select("id", "product", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "members")
+    left = members.select(F.col("id").alias("a"), "product", F.col("part").alias("one"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("two"))
+    right = members.select(F.col("id").alias("b"), "product", F.col("part").alias("two"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("one"))
+    met = left.join(right, ["product", "one", "two"]).filter((F.col("one") < F.col("two")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

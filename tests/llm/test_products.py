@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,15 +39,14 @@ NOISE = ["oferta", "envio gratis", "stock ya", "12 cuotas", ""]
 COLORS = [("negro", "preto"), ("rojo", "vermelho"), ("azul", "azul")]
 
 
-def catalogue(seed=4, n=60):
+def catalogue(seed=4, n=60, brands=("gairrais", "plandupai", "xasallek", "trojelfu"), tones=COLORS):
     """Listings with their true product."""
     rng, rows, truth = random.Random(seed), [], {}
-    brands = ["gairrais", "plandupai", "xasallek", "trojelfu"]
     for p in range(n):
         kind, brand, color, size, pack = rng.randrange(3), rng.choice(brands), rng.randrange(3), rng.choice([400, 1500]), rng.choice([1, 1, 3])
         model = f"ab{1000 + p // 3}"  # neighbours share a model and differ in size, colour, pack or kind
         for k in range(rng.choice([1, 2, 3, 5])):
-            name, tone = KINDS[kind][rng.randrange(2)], COLORS[color][rng.randrange(2)]
+            name, tone = KINDS[kind][rng.randrange(2)], tones[color][rng.randrange(2)]
             shown = brand if rng.random() < 0.8 else brand[:3] + brand[4:]
             words = [rng.choice(NOISE), name.upper() if rng.random() < 0.2 else name, shown, rng.choice([model, model[:2] + "-" + model[2:], model.upper()]), rng.choice([f"{size}w", f"{size} W", f"{size / 1000} kW"]), f"color {tone}", f"pack x{pack}" if pack > 1 else ""]
             attrs = [("BRAND", "", brand)] if rng.random() < 0.6 else []
@@ -65,6 +65,28 @@ def test_groups_against_truth(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [40, 600])
+def test_recall_on_brands_and_colours_not_seen_before(spark, n):
+    rows, truth = catalogue(11, n, ("zumbelor", "ortiquea", "fenwalda", "quispamo", "hadrelun"), [("turquesa", "turquoise"), ("plateado", "silver"), ("naranja", "laranja")])
+    got = {tuple(r) for r in pr.pairs(pr.group_products(spark.createDataFrame(rows, SCHEMA))).collect()}
+    by = {}
+    for i, t in truth.items():
+        by.setdefault(t, []).append(i)
+    want = {p for ids in by.values() for p in combinations(sorted(ids), 2)}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
+def test_leaders_of_runs_cut_between_tasks(spark):
+    rng = random.Random(2)
+    rows = [(f"i{i:03d}", *("k", "b", f"m{0 if i % 3 == 0 else rng.randrange(20)}", None, "c", 1), f"a{i % 2}") for i in range(300)]
+    rows += rows[:40] + [("i000", "k", "b", "other", None, "c", 1, "a")]  # repeated rows, and an id with two readings
+    df = spark.createDataFrame(rows, "id string, kind string, brand string, model string, size string, color string, pack long, article string").repartition(6)
+    placed, recs = pr.contract(df)
+    parts = {r.rec: (r.model, r.n) for r in recs.collect()}
+    assert sorted(m for m, _ in parts.values()) == sorted({r[3] for r in rows}) and sum(n for _, n in parts.values()) == len(rows)
+    assert {(r.id, parts[r.rec][0], r.article) for r in placed.collect()} == {(r[0], r[3], r[7]) for r in rows}
+
+
 def test_nulls_and_empty(spark):
     rows = [("a", None, None, None, "x", "x"), ("b", "", "", [], "x", "x"), ("c", "x " * 20_000, None, [("BRAND", None, None)], "x", "x"), (None, "t", "c", None, "x", "x")]
     groups = {r.id for r in pr.group_products(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -102,7 +124,9 @@ def test_pivot_clusters(spark):
 
 def test_salted_pairs(spark):
     groups = spark.createDataFrame([(f"i{i:02d}", "p" if i < 20 else f"q{i}") for i in range(25)], "id string, product string")
-    got = {tuple(r) for r in pr.pairs(groups, per_task=6).collect()}
+    found = [tuple(r) for r in pr.pairs(groups, per_task=6).collect()]
+    got = set(found)
+    assert len(found) == len(got)
     assert got == set(combinations([f"i{i:02d}" for i in range(20)], 2))
 
 
