@@ -308,3 +308,13 @@ def stem_column(language: str):
         return terms.map(lambda t: None if t is None else stem(t))
 
     return run
+
+
+def stem_by(language: str, term: str):
+    """Stems of distinct terms by the columns of their language and of themselves; other languages than ours leave a term as it is."""
+
+    @F.pandas_udf(T.StringType())
+    def run(languages: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s not in STEMMERS else STEMMERS[s](t) for s, t in zip(languages, terms)], dtype="object")
+
+    return run(language, term)

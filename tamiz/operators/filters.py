@@ -50,4 +50,5 @@ def facets(matched: DataFrame, columns: DataFrame, schema: IndexSchema, fields:
 
 
 def ordered_facets(counts: DataFrame) -> DataFrame:
+    """By field, then by falling count; ties by value."""
     return counts.orderBy("field", F.desc("count"), "value")

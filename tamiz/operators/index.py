@@ -8,34 +8,36 @@ the expanded terms.  Stemming runs over the distinct vocabulary.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.functions.stemmers import stem_column
+from tamiz.functions.stemmers import stem_by
 from tamiz.functions.analysis import term_array
-from tamiz.schema import DOCUMENT, FieldConfig, IndexSchema
+from tamiz.schema import DOCUMENT, IndexSchema
 from tamiz.session import spread
 
 HEAD = 3
 
 
-def field_tokens(docs: DataFrame, field: FieldConfig) -> DataFrame:
-    """``id, field, dl, pos, term``; stemmed by a join with the stems of the distinct terms."""
-    rows = docs.select("id", F.lit(field.name).alias("field"), term_array(F.col(field.name), field.analyzer).alias("terms"))
-    # the length is taken below the explode, which would else carry the whole array along with each of its terms;
-    # explode_outer, since for a plain one the optimizer adds a filter on the array that analyzes every text twice
-    sized = rows.select("id", "field", F.size("terms").alias("dl"), "terms")
-    flat = sized.select("id", "field", "dl", F.posexplode_outer("terms").alias("pos", "term")).filter(F.col("term").isNotNull())
-    if field.analyzer.kind == "keyword" or not field.analyzer.language:
-        return flat
-    stems = flat.select("term").distinct().withColumn("stem", stem_column(field.analyzer.language.value)("term"))
-    return flat.join(stems, "term").select("id", "field", "dl", "pos", F.col("stem").alias("term"))
-
-
 def tokens(docs: DataFrame, schema: IndexSchema) -> DataFrame:
-    return reduce(DataFrame.unionByName, [field_tokens(docs, f) for f in schema.text_fields])
+    """``id, field, dl, pos, term`` of all text fields, from one scan; stemmed by a join with the stems of the distinct terms."""
+    fields = schema.text_fields
+    if not fields:
+        return docs.sparkSession.createDataFrame([], "id long, field string, dl int, pos int, term string")
+    # arrays first and lengths beside them, so that a text is analyzed once and its array isn't carried along with each of its terms;
+    # explode_outer, since for a plain one the optimizer adds a filter on the array that analyzes every text twice
+    arrays = docs.select("id", *(term_array(F.col(f.name), f.analyzer).alias(f"_{i}") for i, f in enumerate(fields)))
+    stems_of = lambda f: f.analyzer.language.value if f.analyzer.language and f.analyzer.kind != "keyword" else None
+    each = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(stems_of(f)).cast("string").alias("lang"), F.size(f"_{i}").alias("dl"), F.col(f"_{i}").alias("terms")) for i, f in enumerate(fields)))
+    sized = arrays.select("id", F.explode_outer(each).alias("x")).select("id", "x.field", "x.lang", "x.dl", "x.terms")
+    flat = sized.select("id", "field", "lang", "dl", F.posexplode_outer("terms").alias("pos", "term")).filter(F.col("term").isNotNull())
+    if not any(map(stems_of, fields)):
+        return flat.drop("lang")
+    spoken = flat.withColumn("lang", F.coalesce("lang", F.lit("")))
+    stems = spoken.select("lang", "term").distinct().withColumn("stem", stem_by("lang", "term"))
+    return spoken.join(stems, ["lang", "term"]).select("id", "field", "dl", "pos", F.col("stem").alias("term"))
 
 
 def postings(tokens_: DataFrame) -> DataFrame:
@@ -82,17 +84,25 @@ class Index:
         return {r.field: (r.n_docs, r.avgdl) for r in self.statistics.collect()}
 
     def persist(self) -> Index:
+        """For an index that serves a few requests; one that is kept is written."""
         for t in (self.postings, self.vocabulary, self.columns):
             t.persist()
         return self
 
-    def write(self, path: str) -> None:
-        """Postings and vocabulary in order of terms, so that a scan skips all but the files of its terms."""
+    def write(self, path: str) -> Index:
+        """Postings and vocabulary in order of terms, so that a scan skips all but the files of its terms; returns the written index.
+
+        The postings are computed once: what derives from them is read from them.
+        """
+        spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        docs = spark.read.parquet(f"{path}/documents")
         self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.statistics.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
-        self.columns.write.mode("overwrite").parquet(f"{path}/columns")
+        written = spark.read.parquet(f"{path}/postings")
+        vocabulary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        field_statistics(written, docs, self.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        columns(docs, self.schema).write.mode("overwrite").parquet(f"{path}/columns")
+        return Index.open(spark, path, self.schema)
 
     @staticmethod
     def open(spark: SparkSession, path: str, schema: IndexSchema) -> Index:

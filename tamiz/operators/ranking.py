@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamiz.operators.filters import facets
+from tamiz.operators.filters import facets, ordered_facets
 from tamiz.operators.index import Index
 from tamiz.operators.search import even_score, hydrate, match, order_hits, release
 from tamiz.plans.request import In, SearchRequest, SearchResult
+from tamiz.session import materialize
 
 POOL = 200
 
@@ -57,6 +58,26 @@ class FunctionRanker:
         return self.function(query, candidates)
 
 
+@dataclass
+class BatchedRanker:
+    """A remote service that takes ``batch`` candidates a call; calls run side by side, the answers are merged by score.
+
+    Candidates a call doesn't answer for keep their place behind those it does.
+    """
+
+    function: Callable[[str, pd.DataFrame], pd.DataFrame]
+    batch: int = 64
+    calls: int = 4
+
+    def rerank(self, query: str, candidates: pd.DataFrame) -> pd.DataFrame:
+        parts = [candidates.iloc[i : i + self.batch] for i in range(0, len(candidates), self.batch)]
+        with ThreadPoolExecutor(self.calls) as pool:
+            answers = pd.concat([a[["id", "score"]] for a in pool.map(lambda p: self.function(query, p), parts)])
+        answers = answers[answers["id"].isin(candidates["id"])].sort_values(["score", "id"], ascending=[False, True])
+        left = candidates[~candidates["id"].isin(answers["id"])][["id", "score"]]
+        return pd.concat([answers, left])
+
+
 @dataclass
 class ScoreRanker:
     """A guest function from scores to scores (all a sandboxed ranker sees), re-sorted by the new score."""
@@ -92,11 +113,12 @@ class Breaker:
 
 
 def make_ranker(kind: str = "noop", **options) -> Ranker:
-    """``noop``, ``remote`` (a callable behind a breaker), ``score`` (scores only)."""
+    """``noop``, ``remote`` (a callable behind a breaker, in batches if ``batch`` is given), ``score`` (scores only)."""
     if kind == "noop":
         return NoopRanker()
     if kind == "remote":
-        return Breaker(FunctionRanker(options["function"]), options.get("failures", 5), options.get("seconds", 30.0))
+        inner = BatchedRanker(options["function"], options["batch"]) if "batch" in options else FunctionRanker(options["function"])
+        return Breaker(inner, options.get("failures", 5), options.get("seconds", 30.0))
     if kind == "score":
         return ScoreRanker(options["function"])
     raise ValueError(f"no such ranker: {kind}")
@@ -231,16 +253,17 @@ class Searcher:
         if request.destination_zone:
             ordered = self.availability.apply(ordered, self.index.documents, request.destination_zone)
             ordered = ordered.orderBy("rank") if "rank" in ordered.columns else order_hits(self.index, ordered.select("id", "score"), request)
-        result = SearchResult(ordered, facets(matched, self.index.columns, self.index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, reranked, release=lambda: release(matched))
+        result = SearchResult(ordered, ordered_facets(facets(matched, self.index.columns, self.index.schema, request.aggregations)), matched.agg(F.count("*").alias("total_hits")), mode, reranked, release=lambda: release(matched))
         if self.cache is not None:
             spark = self.index.documents.sparkSession
             bounded = ordered.limit(max(self.pool * self.availability.multiplier, request.offset + request.limit))
             order = [c for c in ("sort_value", "rank") if c in bounded.columns]
             rows = bounded.select("id", "score", *order).collect()  # the pool, or what the page needs
             fixed = spark.createDataFrame([(r.id, float(r.score), n) for n, r in enumerate(rows)], "id long, score double, rank long").orderBy("rank")
-            counts = spark.createDataFrame(result.facets.collect(), result.facets.schema)
+            # facets aren't bounded by the page, so they go to a table and not to the driver
+            counts = materialize(result.facets, "facets") if request.aggregations else result.facets
             total = spark.createDataFrame(result.total.collect(), result.total.schema)
-            self.cache.put(request, SearchResult(fixed, counts, total, mode, reranked))
+            self.cache.put(request, SearchResult(fixed, ordered_facets(counts) if request.aggregations else counts, total, mode, reranked))
         return self._page(result, request)
 
     def _page(self, result: SearchResult, request: SearchRequest) -> SearchResult:

@@ -18,12 +18,13 @@ from pyspark.sql import Window as W
 
 from tamiz.functions.analysis import term_array
 from tamiz.functions.stemmers import stem_column
-from tamiz.operators.filters import apply_filters, facets
+from tamiz.operators.filters import apply_filters, facets, ordered_facets
 from tamiz.operators.index import Index
-from tamiz.plans.request import MAX_QUERY_BYTES, SearchRequest, SearchResult, Understanding
+from tamiz.plans.request import SearchRequest, SearchResult, Understanding
 
 K1, B = 1.2, 0.75
 PUSHED_TERMS = 1000
+LONG_TERM = 20
 TITLE_BOOST = 1.5
 TOKENS = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qpos", T.IntegerType()), T.StructField("q", T.StringType())])
 
@@ -50,17 +51,17 @@ def expand(vocabulary: DataFrame, terms: DataFrame, typo_tolerance: bool = True)
     longer than 4 bytes, within 1 or 2 edits); ``p``: it counts as an
     occurrence (prefix); ``f``: it counts where no prefix term does (within 1
     or 2 edits, from 3 bytes).  ``df``: documents of the exact term, else 1.
-    Query terms longer than a query may be (``MAX_QUERY_BYTES``) find nothing.
+    Both meet by equi-joins, on beginnings and on spellings (:func:`_near_keys`).
     """
     q = terms.select("q").distinct()
-    # an equi-join on the terms' beginnings instead of a comparison of all with all
-    starts = vocabulary.select("term", "df", F.explode_outer(F.expr(f"transform(sequence(1, least(char_length(term), {MAX_QUERY_BYTES})), i -> substr(term, 1, i))")).alias("q"))
+    lengths = q.agg(F.collect_set(F.length("q")).alias("_lengths"))  # one row: the lengths that occur among the query's terms
+    starts = vocabulary.crossJoin(F.broadcast(lengths)).select("term", "df", F.explode_outer(F.transform(F.filter("_lengths", lambda n: n <= F.length("term")), lambda n: F.substr("term", F.lit(1), n))).alias("q"))
     both = starts.join(q, "q").select("q", "term", "df", F.lit(True).alias("p"), F.lit(None).cast("int").alias("dist"))
     known = both.select("q").distinct().withColumn("has", F.lit(True))
     if typo_tolerance:
-        # edits change the length by at most their number: terms meet on their length first
-        sized = q.filter(F.octet_length("q") >= 3).select("q", F.explode(F.sequence(F.length("q") - _count_edits(), F.length("q") + _count_edits())).alias("len"))
-        close = vocabulary.withColumn("len", F.length("term")).join(sized, "len").withColumn("dist", F.levenshtein("q", "term", 2))
+        asked = q.filter(F.octet_length("q") >= 3).select("q", F.explode(_asked_keys(F.col("q"), _count_edits())).alias("key"))
+        held = vocabulary.select("term", "df", F.explode(_near_keys(F.col("term"))).alias("key"))
+        close = held.join(asked, "key").select("q", "term", "df").distinct().withColumn("dist", F.levenshtein("q", "term", 2))
         both = both.unionByName(close.filter((F.col("dist") >= 0) & (F.col("dist") <= _count_edits())).select("q", "term", "df", F.lit(False).alias("p"), "dist"))
     best = both.groupBy("q", "term").agg(F.max("p").alias("p"), F.min("dist").alias("dist"))
     joined = best.join(known, "q", "left").join(vocabulary.select(F.col("term").alias("q"), "df"), "q", "left")
@@ -68,6 +69,48 @@ def expand(vocabulary: DataFrame, terms: DataFrame, typo_tolerance: bool = True)
     return joined.select("q", "term", retrieves.alias("e"), "p", F.col("dist").isNotNull().alias("f"), F.coalesce("df", F.lit(1)).alias("df"))
 
 
+def _without(w: Column, most: Column) -> Column:
+    """A word and what is left of it without one letter and, where ``most`` is 2, without two."""
+    n = F.length(w)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places, lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    after = lambda i: F.when(i < n, F.sequence(i + 1, n)).otherwise(F.array().cast("array<int>"))
+    two = F.flatten(F.transform(places, lambda i: F.transform(after(i), lambda j: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, j - i - 1), F.substr(w, j + 1)))))
+    return F.concat(F.array(w), one, F.when(most >= 2, two).otherwise(F.array().cast("array<string>")))
+
+
+def _thirds(n: Column) -> list[tuple[Column, Column]]:
+    """Start and length of three parts of a word of ``n`` letters: two edits leave one of them whole."""
+    a, b = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    return [(F.lit(1), a), (a + 1, b - a), (b + 1, n - b)]
+
+
+def _hashed(keys: Column) -> Column:
+    return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
+
+
+def _near_keys(term: Column) -> Column:
+    """Keys of a vocabulary term: what is left of it without up to two letters; of one longer than ``LONG_TERM``, its thirds with its length."""
+    n = F.length(term)
+    parts = F.array(*(F.concat_ws("|", n.cast("string"), F.lit(str(i)), F.substr(term, at, size)) for i, (at, size) in enumerate(_thirds(n))))
+    return _hashed(F.when(n <= LONG_TERM, _without(term, F.lit(2))).otherwise(parts))
+
+
+def _asked_keys(q: Column, edits: Column) -> Column:
+    """Keys of a query term: each vocabulary term within ``edits`` (1 or 2) has one of them."""
+    n = F.length(q)
+    sizes = F.filter(F.sequence(n - 2, n + 2), lambda m: m > LONG_TERM)
+
+    def moved(m: Column) -> Column:
+        """The thirds of a term of ``m`` letters, wherever two edits may have moved them."""
+        tries = [F.concat_ws("|", m.cast("string"), F.lit(str(i)), F.substr(q, at + by, size)) for i, (at, size) in enumerate(_thirds(m)) for by in range(-2, 3) if i or by >= 0]
+        return F.array(*tries)
+
+    none = F.array().cast("array<string>")
+    short = F.when(n <= LONG_TERM + 2, _without(q, edits)).otherwise(none)
+    return _hashed(F.concat(short, F.flatten(F.transform(sizes, moved))))
+
+
 def _count_edits() -> Column:
     return F.when(F.octet_length("q") <= 4, 1).otherwise(2)
 
@@ -240,7 +283,7 @@ def search(index: Index, request: SearchRequest, strict: bool = False) -> Search
     page = order_hits(index, matched, request).offset(request.offset).limit(request.limit)
     if request.include_docs:
         page = hydrate(page, index.documents)
-    return SearchResult(page, facets(matched, index.columns, index.schema, request.aggregations), matched.agg(F.count("*").alias("total_hits")), mode, release=lambda: release(matched))
+    return SearchResult(page, ordered_facets(facets(matched, index.columns, index.schema, request.aggregations)), matched.agg(F.count("*").alias("total_hits")), mode, release=lambda: release(matched))
 
 
 def get_documents(documents: DataFrame, ids: list[int] | DataFrame) -> DataFrame:

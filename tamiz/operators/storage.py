@@ -4,7 +4,11 @@ A store is a folder: ``segments/<n>`` Parquet folders of documents with their
 sequence number, ``oplog/<n>`` folders of operations not yet flushed, and a
 manifest naming what counts.  Reading takes, of each id, the row with the
 greatest sequence number among segments and log, and drops deletes, so an
-update replaces and a delete holds wherever it was written.
+update replaces and a delete holds wherever it was written.  Folders that none of
+the last ``KEPT`` manifests names are deleted.
+
+A replica is another store: :func:`full_sync` copies the current state with its
+sequence numbers, :func:`catch_up` what the log holds beyond them.
 
 The store may also be split by shard: ``shard_of`` gives the shard of an id.
 """
@@ -15,7 +19,7 @@ import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +29,14 @@ from tamiz.operators.manifest import Manifests, fresh
 from tamiz.schema import DOCUMENT, IndexSchema
 
 OPERATION = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("id", T.LongType()), T.StructField("doc", DOCUMENT)])
-ROW_OVERHEAD, BUFFER_BYTES = 64, 64 << 20
+ROW_OVERHEAD, BUFFER_BYTES, KEPT = 64, 64 << 20, 4
 
 
 @dataclass
 class Manifest:
     next_seq: int = 0
     next_part: int = 0
+    log_from: int = 0  # the log holds all operations from here on
     segments: dict[str, int] = field(default_factory=dict)  # folder -> rows
     log: dict[str, int] = field(default_factory=dict)  # folder -> bytes
 
@@ -49,10 +54,9 @@ def delete_operations(ids: DataFrame) -> DataFrame:
     return ids.select(F.lit("delete").alias("op"), "id", F.lit(None).cast(DOCUMENT).alias("doc"))
 
 
-def payload_bytes(docs: DataFrame, prefix: str = "doc.") -> DataFrame:
-    """Bytes a buffer would hold: texts plus a fixed overhead a row (OP-19)."""
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f"{prefix}{c}"), F.lit(0)) for c in ("title", "description", "category")])
-    return docs.agg(F.coalesce(F.sum(size + ROW_OVERHEAD), F.lit(0)).alias("bytes"))
+def row_bytes(prefix: str = "doc.") -> Column:
+    """Bytes of a row in a buffer: its texts plus a fixed overhead (OP-19)."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f"{prefix}{c}"), F.lit(0)) for c in ("title", "description", "category")]) + ROW_OVERHEAD
 
 
 def merges(segments: dict[str, int], least: int = 3, most: int = 10) -> list[str]:
@@ -71,6 +75,14 @@ class Store:
         m = Manifest(**{**self.manifest.__dict__, **changes})
         self.version = self._manifests.publish(self.version, m.__dict__)
         self.manifest = m
+        for folder in ("segments", "oplog"):
+            self._manifests.expire(m.next_part - 1, KEPT, f"{self.path}/{folder}", lambda x: [*x["segments"], *x["log"]])
+
+    def _write(self, rows: DataFrame, folder: str) -> dict:
+        """Write operations and say, from the same pass, how many, how large and up to which sequence number."""
+        seen = Observation()
+        rows.select(*OPERATION.names).observe(seen, F.count("*").alias("rows"), F.max("seq").alias("top"), F.coalesce(F.sum(row_bytes()), F.lit(0)).alias("bytes")).write.parquet(f"{self.path}/{folder}")
+        return seen.get
 
     def _read(self, folders, schema: T.StructType = OPERATION) -> DataFrame:
         folders = list(folders)
@@ -83,14 +95,20 @@ class Store:
         m = self.manifest
         part = fresh(f"oplog/{m.next_part:06d}")
         placed = operations.withColumn("_n", F.monotonically_increasing_id()) if "seq" not in operations.columns else operations.withColumnRenamed("seq", "_n")
-        placed.select((F.col("_n") + m.next_seq).alias("seq"), "op", "id", "doc").write.parquet(f"{self.path}/{part}")
-        written = self._read([part])
-        top = written.agg(F.max("seq")).first()[0]
-        size = payload_bytes(written).first()[0]
-        self._publish(next_part=m.next_part + 1, next_seq=m.next_seq if top is None else top + 1, log={**m.log, part: size})
+        self._logged(part, self._write(placed.select((F.col("_n") + m.next_seq).alias("seq"), "op", "id", "doc"), part))
+
+    def _logged(self, part: str, wrote: dict) -> None:
+        m = self.manifest
+        self._publish(next_part=m.next_part + 1, next_seq=m.next_seq if wrote["top"] is None else wrote["top"] + 1, log={**m.log, part: wrote["bytes"]})
         if sum(self.manifest.log.values()) >= self.buffer_bytes:
             self.flush()
 
+    def apply(self, operations: DataFrame) -> None:
+        """Operations that have their sequence numbers already; those that came before change nothing."""
+        m = self.manifest
+        part = fresh(f"oplog/{m.next_part:06d}")
+        self._logged(part, self._write(operations.filter(F.col("seq") >= m.next_seq), part))
+
     def index(self, docs: DataFrame) -> None:
         self.append(index_operations(docs))
 
@@ -103,9 +121,8 @@ class Store:
         if not m.log:
             return
         part = fresh(f"segments/{m.next_part:06d}")
-        latest(self._read(m.log)).select(*OPERATION.names).write.parquet(f"{self.path}/{part}")
-        rows = self._read([part]).count()
-        self._publish(next_part=m.next_part + 1, log={}, segments={**m.segments, part: rows})
+        rows = self._write(latest(self._read(m.log)), part)["rows"]
+        self._publish(next_part=m.next_part + 1, log={}, log_from=m.next_seq, segments={**m.segments, part: rows})
         self.merge(merges(self.manifest.segments))
 
     def merge(self, folders: list[str]) -> None:
@@ -117,17 +134,16 @@ class Store:
         rows = latest(self._read(folders))
         if set(folders) == set(m.segments) and not m.log:
             rows = rows.filter("op = 'index'")
-        rows.select(*OPERATION.names).write.parquet(f"{self.path}/{part}")
+        count = self._write(rows, part)["rows"]
         rest = {k: v for k, v in m.segments.items() if k not in folders}
-        self._publish(next_part=m.next_part + 1, segments={**rest, part: self._read([part]).count()})
+        self._publish(next_part=m.next_part + 1, segments={**rest, part: count})
 
     def compact(self) -> int:
         """Flush, then all live documents as one segment (OP-29, with :func:`tamiz.operators.index.build` for the tables derived); returns their number."""
         self.flush()
         m = self.manifest
         part = fresh(f"segments/{m.next_part:06d}")
-        latest(self._read(m.segments)).filter("op = 'index'").select(*OPERATION.names).write.parquet(f"{self.path}/{part}")
-        rows = self._read([part]).count()
+        rows = self._write(latest(self._read(m.segments)).filter("op = 'index'"), part)["rows"]
         self._publish(next_part=m.next_part + 1, segments={part: rows})
         return rows
 
@@ -145,8 +161,14 @@ class Store:
         return latest(self.operations()).filter("op = 'index'").select("doc.*")
 
     def stats(self, shards: int = 1) -> DataFrame:
-        """``shard_id, live_docs``, with the total as shard null (OP-32)."""
-        return shard_stats(self.documents(), shards)
+        """``shard_id, live_docs, segment_rows, buffered_rows, buffered_bytes``, with the total as shard null (OP-32)."""
+        shard = shard_of(F.col("id"), shards).alias("shard_id")
+        none = F.lit(0).cast("bigint")
+        live = self.documents().select(shard, F.lit(1).alias("live"), none.alias("held"), none.alias("buffered"), none.alias("bytes"))
+        held = self._read(self.manifest.segments).select(shard, none.alias("live"), F.lit(1).alias("held"), none.alias("buffered"), none.alias("bytes"))
+        buffered = self._read(self.manifest.log).select(shard, none.alias("live"), none.alias("held"), F.lit(1).alias("buffered"), row_bytes().cast("bigint").alias("bytes"))
+        sums = {"live": "live_docs", "held": "segment_rows", "buffered": "buffered_rows", "bytes": "buffered_bytes"}
+        return live.unionByName(held).unionByName(buffered).rollup("shard_id").agg(*(F.sum(c).alias(n) for c, n in sums.items()))
 
     def summary(self) -> dict[str, int]:
         """Segments, and what is still in the log."""
@@ -161,6 +183,26 @@ class Store:
         return {"docs_reindexed": rows, "elapsed_seconds": time.perf_counter() - began}
 
 
+def full_sync(store: Store, replica: Store) -> None:
+    """The replica becomes what the store is, with its sequence numbers; deletes come along, so that older operations can't revive an id."""
+    m = replica.manifest
+    part = fresh(f"segments/{m.next_part:06d}")
+    rows = replica._write(latest(store.operations()), part)["rows"]
+    replica._publish(next_part=m.next_part + 1, next_seq=store.manifest.next_seq, log_from=store.manifest.next_seq, log={}, segments={part: rows})
+
+
+def catch_up(store: Store, replica: Store) -> str:
+    """Brings a replica up to date: ``none``, ``log`` (operations it lacks) or ``full`` (the log doesn't reach back so far)."""
+    at = replica.manifest.next_seq
+    if at >= store.manifest.next_seq:
+        return "none"
+    if at < store.manifest.log_from:
+        full_sync(store, replica)
+        return "full"
+    replica.apply(store.read_since(at))
+    return "log"
+
+
 def shard_stats(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select(shard_of(F.col("id"), shards).alias("shard_id")).rollup("shard_id").agg(F.count("*").alias("live_docs"))
 

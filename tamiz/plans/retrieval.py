@@ -11,10 +11,12 @@ from tamiz.operators import changefeed, ranking, search, storage, suggest
 from tamiz.operators import index as ix
 from tamiz.operators.filters import apply_filters, facets
 from tamiz.plans.request import Eq, In, Range, SearchRequest, Sort
-from tamiz.schema import ATTRIBUTE, FieldConfig, FieldType, IndexSchema
+from tamiz.schema import ATTRIBUTE, FieldConfig, FieldType, IndexSchema, Language
+from tamiz.session import scratch_path
 from tamiz.sources import ingest
 from tamiz.sources.tables import table
 
+STEMMED = IndexSchema.default(Language.SPANISH)
 SCHEMA = IndexSchema.default(None, (FieldConfig("brand", FieldType.KEYWORD, filterable=True, aggregatable=True), FieldConfig("size", FieldType.NUMERIC, filterable=True)))
 
 
@@ -26,7 +28,9 @@ def _attr(s=None, n=None):
 def part_documents(spark: SparkSession, d: str) -> DataFrame:
     """The part table as a catalogue."""
     p = table(spark, d, "part")
-    attrs = F.create_map(F.lit("brand"), _attr(s=F.col("p_brand")), F.lit("size"), _attr(n=F.col("p_size")), F.lit("stock_north"), _attr(n=F.col("p_size") % 5))
+    weight = F.when(F.col("p_size") % 3 != 0, F.col("p_size") * 1.5)  # a third of the parts has none
+    south = F.when(F.col("p_size") > 25, F.concat(F.col("p_size").cast("string"), F.lit(".5"))).otherwise("many")
+    attrs = F.create_map(F.lit("brand"), _attr(s=F.col("p_brand")), F.lit("size"), _attr(n=F.col("p_size")), F.lit("weight"), _attr(n=weight), F.lit("stock_north"), _attr(n=F.col("p_size") % 5), F.lit("stock_south"), _attr(s=south))
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("category"), attrs.alias("attributes"))
 
 
@@ -39,10 +43,11 @@ def text_documents(spark: SparkSession, d: str) -> DataFrame:
 _INDEXES: dict[tuple, ix.Index] = {}
 
 
-def _index(spark: SparkSession, d: str, docs=part_documents) -> ix.Index:
-    key = (spark.sparkContext.applicationId, d, docs.__name__)
+def _index(spark: SparkSession, d: str, docs=part_documents, schema: IndexSchema = SCHEMA) -> ix.Index:
+    """Written once to the shared folder and opened from there."""
+    key = (spark.sparkContext.applicationId, d, docs.__name__, schema)
     if key not in _INDEXES:
-        _INDEXES[key] = ix.build(docs(spark, d), SCHEMA).persist()
+        _INDEXES[key] = ix.build(docs(spark, d), schema).write(scratch_path(spark, "index"))
     return _INDEXES[key]
 
 
@@ -51,8 +56,8 @@ def _hits(spark, d, request: SearchRequest, docs=part_documents) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
-def _all(spark, d, request: SearchRequest, docs=part_documents) -> DataFrame:
-    return search.match(_index(spark, d, docs), request)[0].select("id", F.round("score", 6).alias("score"))
+def _all(spark, d, request: SearchRequest, docs=part_documents, schema: IndexSchema = SCHEMA) -> DataFrame:
+    return search.match(_index(spark, d, docs, schema), request)[0].select("id", F.round("score", 6).alias("score"))
 
 
 # text analysis --------------------------------------------------------------
@@ -109,6 +114,39 @@ def bm25_documents(spark, d):
     return _all(spark, d, SearchRequest("garantía envío", typo_tolerance=False), text_documents)
 
 
+def bm25_stemmed(spark, d):
+    """By the default schema: Spanish stems in index and query."""
+    return _all(spark, d, SearchRequest("garantías del envío", typo_tolerance=False), text_documents, STEMMED)
+
+
+def bm25_stemmed_typos(spark, d):
+    return _all(spark, d, SearchRequest("garrantías", language="es"), text_documents, STEMMED)
+
+
+def best_candidates(spark, d):
+    """Only the 50 best matches go on to facets and total."""
+    return _all(spark, d, SearchRequest("widget", typo_tolerance=False, max_candidates=50))
+
+
+def total_hits(spark, d):
+    return search.search(_index(spark, d), SearchRequest("widget", {"price": Range(gte=905.0)}, typo_tolerance=False, limit=3)).total
+
+
+def search_facets(spark, d):
+    """Facets as a search returns them, over the matches and not over the page."""
+    return search.search(_index(spark, d), SearchRequest("blue", typo_tolerance=False, limit=1, aggregations=("brand", "category", "nothing"))).facets
+
+
+def multi_get(spark, d):
+    """The parts that were ordered in the largest quantity, by a table of ids; ids that no document has are left out."""
+    asked = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 50).select(F.col("l_partkey").alias("id")).unionByName(spark.createDataFrame([(-5,)], "id long"))
+    return search.get_documents(_index(spark, d).documents, asked).select("id", "title", "price")
+
+
+def point_get(spark, d):
+    return search.get_documents(_index(spark, d).documents, [7, 11, -1]).select("id", "title", "price")
+
+
 def title_position_boost(spark, d):
     return _all(spark, d, SearchRequest("el cable", typo_tolerance=False), text_documents)
 
@@ -152,7 +190,12 @@ def sort_price_page(spark, d):
 
 
 def sort_missing_attr(spark, d):
-    return search.search(_index(spark, d), SearchRequest("", sort=Sort("weight", True), limit=10)).hits.select("id", "sort_value")
+    """By a number that a third of the documents lacks: these come first."""
+    return search.search(_index(spark, d), SearchRequest("", sort=Sort("weight", True), limit=1000)).hits.select("id", "sort_value")
+
+
+def sort_attr_descending(spark, d):
+    return search.search(_index(spark, d), SearchRequest("widget", sort=Sort("weight"), offset=5, limit=40, typo_tolerance=False)).hits.select("id", "sort_value")
 
 
 def hydrate_hits(spark, d):
@@ -167,6 +210,13 @@ def search_batch(spark, d):
     return found.join(queries, "qid").select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def search_batch_typos(spark, d):
+    """Every catalogue title, with its typing errors and made-up words, as a query on the text corpus."""
+    queries = table(spark, d, "catalog_docs").select(F.col("title").alias("query")).filter(F.col("title").isNotNull()).distinct().select(F.xxhash64("query").alias("qid"), "query")
+    found = search.search_many(_index(spark, d, text_documents), queries, k=3)
+    return found.join(queries, "qid").select("query", "id", F.round("score", 6).alias("score"), "mode", "rank")
+
+
 # suggest --------------------------------------------------------------------
 
 
@@ -180,6 +230,11 @@ def suggest_prefix(spark, d):
     return suggest.suggest(suggest.build(freq, max_terms=0), "Co", 10)[0].select("term", F.round("score", 6).alias("score"))
 
 
+def suggest_attributes(spark, d):
+    """Terms of a text attribute instead of a base field."""
+    return suggest.build(suggest.frequencies(suggest.term_rows(part_documents(spark, d), ("brand", "size"))), 1, 0).select("term", "df", F.round("score", 6).alias("score"))
+
+
 def suggest_sharded_merge(spark, d):
     """The raw feed: each shard normalises its own counts, the greatest score of a term counts."""
     feed = table(spark, d, "suggest_terms").filter(F.col("term").isNotNull())
@@ -210,10 +265,6 @@ def oplog_fold(spark, d):
     return storage.latest(_event_log(spark, d)).filter("op = 'index'").select("id", "seq", "doc.title", "doc.price")
 
 
-def oplog_since(spark, d):
-    return _event_log(spark, d).filter(F.col("seq") >= 5000).select("seq", "op", "id")
-
-
 def live_after_deletes(spark, d):
     """Catalogue without the ids that the shard log deleted last."""
     changes = changefeed.normalize(table(spark, d, "wal_records"), F.col("entry.id"), F.col("entry.op"), {"wal_gen": F.col("wal_gen"), "seq": F.col("seq")}, F.lit(None).cast("string"))
@@ -236,7 +287,7 @@ def availability_static(spark, d):
 
 def availability_allow_list(spark, d):
     docs = part_documents(spark, d)
-    allowed = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
+    allowed = table(spark, d, "lineitem").filter(F.col("l_quantity") >= 50).select(F.col("l_partkey").alias("id"))
     return ranking.AllowListAvailability(lambda zone: allowed).apply(docs.select("id"), docs, "any")
 
 
@@ -246,13 +297,51 @@ def rerank_expr(spark, d):
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
+def availability_text(spark, d):
+    """Stock written as text; what isn't a number counts as the default."""
+    docs = part_documents(spark, d)
+    return ranking.AttributeAvailability(default=True, minimum=40.0).apply(docs.select("id"), docs, "south")
+
+
+def zone_gate(spark, d):
+    """Availability after retrieval, before the page: the page is full although matches were dropped."""
+    found = ranking.Searcher(_index(spark, d), availability=ranking.AttributeAvailability(default=False, minimum=3.0)).search(SearchRequest("red", limit=25, offset=5, typo_tolerance=False, destination_zone="north"))
+    return found.hits.select("id", F.round("score", 6).alias("score"))
+
+
+def rerank_remote(spark, d):
+    """A remote model in batches of the pool of 200: dearer first."""
+    price = lambda query, c: c.assign(score=c["price"])
+    found = ranking.Searcher(_index(spark, d), ranking.make_ranker("remote", function=price, batch=64), seconds=30.0).search(SearchRequest("red", limit=20, typo_tolerance=False))
+    return found.hits.select("id", F.round("score", 6).alias("score"))
+
+
+def rerank_fallback(spark, d):
+    """A ranker that fails leaves the order as it was."""
+
+    def broken(query, candidates):
+        raise RuntimeError("no such service")
+
+    found = ranking.Searcher(_index(spark, d), ranking.FunctionRanker(broken), seconds=30.0).search(SearchRequest("red", limit=20, typo_tolerance=False))
+    return found.hits.select("id", F.round("score", 6).alias("score"), F.lit(found.reranked).alias("reranked"))
+
+
+def cached_page(spark, d):
+    """The second page, from the pool that the first one left in the cache."""
+    searcher = ranking.Searcher(_index(spark, d), cache=ranking.QueryCache())
+    searcher.search(SearchRequest("blue", limit=10, typo_tolerance=False))
+    found = searcher.search(SearchRequest("blue", limit=10, offset=10, typo_tolerance=False))
+    return found.hits.select("id", F.round("score", 6).alias("score"), F.lit(found.cache_hit).alias("cache_hit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_terms, term_df, field_stats, keyword_terms, postings, stem_es, bm25_and_topk, bm25_prefix, bm25_fuzzy, bm25_or_fallback, bm25_documents, title_position_boost, empty_query_scan,
-        filter_eq, filter_in, filter_range, filter_combo, filter_unknown_field, facet_single, facet_multi, sort_price_page, sort_missing_attr, hydrate_hits, search_batch,
-        suggest_build, suggest_prefix, suggest_sharded_merge, catalogue_map_ok, catalogue_map_errors, oplog_fold, oplog_since, live_after_deletes, jump_hash_stats, shard_rows,
-        availability_static, availability_allow_list, rerank_expr,
+        tokenize_terms, term_df, field_stats, keyword_terms, postings, stem_es, bm25_and_topk, bm25_prefix, bm25_fuzzy, bm25_or_fallback, bm25_documents, bm25_stemmed, bm25_stemmed_typos,
+        best_candidates, title_position_boost, empty_query_scan, total_hits, search_facets, multi_get, point_get,
+        filter_eq, filter_in, filter_range, filter_combo, filter_unknown_field, facet_single, facet_multi, sort_price_page, sort_missing_attr, sort_attr_descending, hydrate_hits, search_batch, search_batch_typos,
+        suggest_build, suggest_prefix, suggest_attributes, suggest_sharded_merge, catalogue_map_ok, catalogue_map_errors, oplog_fold, live_after_deletes, jump_hash_stats, shard_rows,
+        availability_static, availability_allow_list, availability_text, zone_gate, rerank_expr, rerank_remote, rerank_fallback, cached_page,
     )
 }
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from tamiz.functions.text import TOKEN, TOKEN_TRIM
+from tamiz.plans.stem_sql import spanish_stems
 
 _TOKEN, _TRIM = TOKEN.replace("'", "''"), TOKEN_TRIM
 
-_PART = "SELECT p_partkey AS id, p_name AS title, p_type AS description, p_retailprice AS price, p_type AS category, p_brand AS brand, CAST(p_size AS DOUBLE) AS size FROM part"
-_TEXT = r"SELECT doc_id AS id, regexp_extract(text, '^[^\r\n]*') AS title, text AS description, CAST(n_chars AS DOUBLE) AS price, lang AS category, CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS DOUBLE) AS size FROM documents"
+_PART = "SELECT p_partkey AS id, p_name AS title, p_type AS description, p_retailprice AS price, p_type AS category, p_brand AS brand, CAST(p_size AS DOUBLE) AS size, CASE WHEN p_size % 3 <> 0 THEN p_size * 1.5 END AS weight, p_size % 5 AS north FROM part"
+_TEXT = r"SELECT doc_id AS id, regexp_extract(text, '^[^\r\n]*') AS title, text AS description, CAST(n_chars AS DOUBLE) AS price, lang AS category, CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS DOUBLE) AS size, CAST(NULL AS DOUBLE) AS weight, 0 AS north FROM documents"
 
 
 def terms_of(column: str) -> str:
@@ -15,20 +16,24 @@ def terms_of(column: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({column}, '{_TOKEN}'), lambda x: lower(regexp_replace(x, '{_TRIM}', '', 'g'))), lambda x: x <> '')"
 
 
-def _index(docs: str) -> str:
+def _index(docs: str, stems: bool = False) -> str:
+    stemmed = f"""raw AS (SELECT id, field, len(w) AS dl, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM lists),
+stems AS ({spanish_stems("SELECT DISTINCT term FROM raw")}),
+tok AS (SELECT id, field, dl, stem AS term, pos FROM raw JOIN stems USING (term)),"""
+    plain = "tok AS (SELECT id, field, len(w) AS dl, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM lists),"
     return f"""docs AS ({docs}),
 lists AS (SELECT id, 'title' AS field, {terms_of("title")} AS w FROM docs WHERE title IS NOT NULL UNION ALL SELECT id, 'description', {terms_of("description")} FROM docs WHERE description IS NOT NULL),
-tok AS (SELECT id, field, len(w) AS dl, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM lists),
+{stemmed if stems else plain}
 post AS (SELECT term, id, field, CAST(count(*) AS INTEGER) AS tf, any_value(dl) AS dl, min(pos) < 3 AS head FROM tok GROUP BY term, id, field),
 vocab AS (SELECT term, count(DISTINCT id) AS df FROM post GROUP BY term),
 st AS (SELECT field, sum(tf) / (SELECT count(*) FROM docs) AS avgdl FROM post GROUP BY field)"""
 
 
-def search(docs: str, tokens: list[str], typo: bool, where: str = "TRUE") -> str:
+def search(docs: str, tokens: list[str], typo: bool, where: str = "TRUE", stems: bool = False) -> str:
     """``WITH`` clauses that end in ``res(id, score)``, all matches."""
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(tokens))
     n, typo_sql = len(tokens), "TRUE" if typo else "FALSE"
-    return f"""WITH {_index(docs)},
+    return f"""WITH {_index(docs, stems)},
 q(qpos, q) AS (VALUES {values}),
 m AS (SELECT qpos, q, term, starts_with(term, q) AS p, levenshtein(term, q) AS d FROM vocab, q),
 h AS (SELECT qpos, bool_or(p) AS has FROM m GROUP BY qpos),
@@ -62,6 +67,37 @@ sd AS (SELECT query, id, plain * CASE WHEN heads = n THEN 1.5 ELSE 1 END AS scor
 r AS (SELECT query, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(sd.score, 9) DESC, id) AS INTEGER) AS rank FROM sd)
 SELECT query, id, score, rank FROM r WHERE rank <= 3"""
 
+_BATCH_TYPOS = f"""WITH {_index(_TEXT)},
+qs AS (SELECT DISTINCT title AS query FROM catalog_docs WHERE title IS NOT NULL),
+ql AS (SELECT query, {terms_of("query")} AS w FROM qs),
+q AS (SELECT query, len(w) AS n, unnest(w) AS q, generate_subscripts(w, 1) - 1 AS qpos FROM ql),
+m AS (SELECT d.q, term, starts_with(term, d.q) AS p, CASE WHEN abs(length(term) - length(d.q)) <= 2 THEN levenshtein(term, d.q) ELSE 99 END AS d FROM (SELECT DISTINCT q FROM q) d, vocab),
+h AS (SELECT q, bool_or(p) AS has FROM m GROUP BY q),
+x AS (SELECT m.q, m.term, p OR (NOT has AND strlen(q) > 4 AND d <= CASE WHEN strlen(q) <= 6 THEN 1 ELSE 2 END) AS e, p, NOT p AND strlen(q) >= 3 AND d <= CASE WHEN strlen(q) <= 4 THEN 1 ELSE 2 END AS f, coalesce(v.df, 1) AS df
+      FROM (SELECT * FROM m WHERE p OR d <= 2) m JOIN h USING (q) LEFT JOIN vocab v ON v.term = m.q),
+pt AS (SELECT query, n, id, field, qpos, bool_or(e) AS e, sum(tf) FILTER (WHERE p) AS ptf, sum(tf) FILTER (WHERE f) AS ftf, bool_or(p AND head AND field = 'title') AS head, any_value(dl) AS dl, any_value(df) AS df
+       FROM post JOIN x USING (term) JOIN q USING (q) WHERE e OR p OR f GROUP BY query, n, id, field, qpos),
+wt AS (SELECT pt.*, CASE WHEN pt.field = 'title' THEN 2.0 ELSE 1.0 END * greatest(0, ln(1 + ((SELECT count(*) FROM docs) - df + 0.5) / (df + 0.5))) AS w, 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1)) AS k FROM pt JOIN st USING (field)),
+pd AS (SELECT query, n, id, count(DISTINCT qpos) FILTER (WHERE e) AS matched, count(DISTINCT qpos) FILTER (WHERE head) AS heads,
+         coalesce(sum(w * coalesce(ptf, ftf) * 2.2 / (coalesce(ptf, ftf) + k)), 0) AS plain, coalesce(sum(w * ptf * 2.2 / (ptf + k)), 0) AS loose FROM wt GROUP BY query, n, id),
+sd AS (SELECT query, n, id, CASE WHEN matched = n THEN plain * CASE WHEN heads = n THEN 1.5 ELSE 1 END ELSE 0 END AS a, loose * matched AS o FROM pd WHERE matched > 0),
+md AS (SELECT query, bool_or(a > 0) AS every FROM sd GROUP BY query),
+rs AS (SELECT query, id, CASE WHEN every THEN a WHEN n > 1 THEN o ELSE 0 END AS score, CASE WHEN every THEN 'and' ELSE 'or_fallback' END AS mode FROM sd JOIN md USING (query)),
+r AS (SELECT query, id, round(score, 6) AS score, mode, CAST(row_number() OVER (PARTITION BY query ORDER BY round(rs.score, 9) DESC, id) AS INTEGER) AS rank FROM rs WHERE rs.score > 0)
+SELECT query, id, score, mode, rank FROM r WHERE rank <= 3"""
+
+
+def jump_hash(ids: str, shards: int) -> str:
+    """``id, shard_id`` of a query that gives ``id``."""
+    return f"""SELECT id, CAST(b AS INTEGER) AS shard_id FROM (
+  WITH RECURSIVE jump(id, k, b, j) AS (
+    SELECT id, (CAST(id AS HUGEINT) + 18446744073709551616) % 18446744073709551616, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM ({ids})
+    UNION ALL
+    SELECT id, n, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(n // 8589934592 AS DOUBLE) + 1))) AS BIGINT)
+    FROM (SELECT id, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n, j FROM jump WHERE j < {shards}))
+  SELECT id, b, j FROM jump) WHERE j >= {shards}"""
+
+
 _OPLOG = "SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'index' END AS op, user_id AS id, event_type AS title, value AS price FROM events"
 _STRIP = "CASE WHEN starts_with({c}, site_id) AND regexp_full_match(substr({c}, length(site_id) + 1), '[0-9]+') THEN TRY_CAST(substr({c}, length(site_id) + 1) AS BIGINT) END"
 _MAPPED = f"SELECT *, {_STRIP.format(c='id')} AS num, {_STRIP.format(c='category_id')} AS cat FROM item_listings"
@@ -93,7 +129,7 @@ def oracles() -> dict[str, str]:
         "facet_single": search(_PART, ["widget"], False) + "SELECT 'category' AS field, category AS value, count(*) AS count FROM res JOIN docs USING (id) WHERE category IS NOT NULL GROUP BY category",
         "facet_multi": "SELECT 'category' AS field, p_type AS value, count(*) AS count FROM part WHERE p_type IS NOT NULL GROUP BY p_type UNION ALL SELECT 'brand', p_brand, count(*) FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand",
         "sort_price_page": "SELECT p_partkey AS id, p_retailprice AS sort_value FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 15",
-        "sort_missing_attr": "SELECT p_partkey AS id, CAST(NULL AS DOUBLE) AS sort_value FROM part ORDER BY p_partkey LIMIT 10",
+        "sort_missing_attr": "SELECT p_partkey AS id, CAST(CASE WHEN p_size % 3 <> 0 THEN p_size * 1.5 END AS DOUBLE) AS sort_value FROM part ORDER BY sort_value NULLS FIRST, p_partkey LIMIT 1000",
         "hydrate_hits": search(_PART, ["blue", "ring"], False) + "SELECT id, round(res.score, 6) AS score, title, price, category FROM res JOIN docs USING (id) ORDER BY round(res.score, 9) DESC, id LIMIT 15",
         "search_batch": _BATCH,
         "suggest_build": f"SELECT term, df, round(df / max(df) OVER (), 6) AS score FROM ({sugg}) WHERE df >= 2",
@@ -109,9 +145,28 @@ def oracles() -> dict[str, str]:
             nullif(condition, '') AS condition FROM ({_MAPPED}) WHERE num IS NOT NULL AND cat IS NOT NULL""",
         "catalogue_map_errors": f"SELECT CASE WHEN num IS NULL THEN concat('invalid id: ', coalesce(id, 'null')) ELSE concat('invalid category_id: ', coalesce(category_id, 'null')) END AS error, count(*) AS n FROM ({_MAPPED}) WHERE num IS NULL OR cat IS NULL GROUP BY error",
         "oplog_fold": f"SELECT id, seq, title, price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ({_OPLOG})) WHERE rn = 1 AND op = 'index'",
-        "oplog_since": f"SELECT seq, op, id FROM ({_OPLOG}) WHERE seq >= 5000",
-        "live_after_deletes": "SELECT DISTINCT id FROM catalog_docs WHERE id NOT IN (SELECT entry.id FROM wal_records WHERE entry IS NOT NULL AND lower(trim(entry.op)) = 'delete')",
+        "live_after_deletes": """SELECT DISTINCT id FROM catalog_docs WHERE id NOT IN (
+            SELECT id FROM (SELECT entry.id AS id, lower(regexp_replace(entry.op, '[^A-Za-z]', '', 'g')) AS op, row_number() OVER (PARTITION BY entry.id ORDER BY wal_gen DESC, seq DESC) AS rn FROM wal_records WHERE entry IS NOT NULL AND entry.id IS NOT NULL)
+            WHERE rn = 1 AND op = 'delete')""",
+        "jump_hash_stats": f"SELECT shard_id, count(*) AS live_docs FROM ({jump_hash('SELECT p_partkey AS id FROM part', 4)}) GROUP BY ROLLUP (shard_id)",
+        "shard_rows": jump_hash("SELECT p_partkey AS id FROM part", 4),
+        "stem_es": spanish_stems(f"SELECT DISTINCT unnest(w) AS term FROM (SELECT {terms_of('text')} AS w FROM documents)"),
+        "bm25_stemmed": search(_TEXT, ["garant", "del", "envi"], False, stems=True) + "SELECT id, round(score, 6) AS score FROM res",
+        "bm25_stemmed_typos": search(_TEXT, ["garrant"], True, stems=True) + "SELECT id, round(score, 6) AS score FROM res",
+        "best_candidates": search(_PART, ["widget"], False) + "SELECT id, round(score, 6) AS score FROM res ORDER BY round(res.score, 9) DESC, id LIMIT 50",
+        "total_hits": search(_PART, ["widget"], False, "price >= 905") + "SELECT count(*) AS total_hits FROM res",
+        "search_facets": search(_PART, ["blue"], False) + "SELECT field, value, count(*) AS count FROM (SELECT unnest(['brand', 'category']) AS field, unnest([brand, category]) AS value FROM res JOIN docs USING (id)) WHERE value IS NOT NULL GROUP BY field, value",
+        "multi_get": "SELECT p_partkey AS id, p_name AS title, p_retailprice AS price FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
+        "point_get": "SELECT p_partkey AS id, p_name AS title, p_retailprice AS price FROM part WHERE p_partkey IN (7, 11, -1)",
+        "sort_attr_descending": search(_PART, ["widget"], False) + "SELECT id, weight AS sort_value FROM res JOIN docs USING (id) ORDER BY weight DESC NULLS LAST, id LIMIT 40 OFFSET 5",
+        "search_batch_typos": _BATCH_TYPOS,
+        "suggest_attributes": f"SELECT term, df, round(df / max(df) OVER (), 6) AS score FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT p_partkey, unnest({terms_of('p_brand')}) AS term FROM part) GROUP BY term)",
+        "availability_text": "SELECT p_partkey AS id FROM part WHERE p_size <= 25 OR p_size + 0.5 >= 40",
+        "zone_gate": search(_PART, ["red"], False) + "SELECT id, round(res.score, 6) AS score FROM res JOIN docs USING (id) WHERE north >= 3 ORDER BY round(res.score, 9) DESC, id LIMIT 25 OFFSET 5",
+        "rerank_remote": search(_PART, ["red"], False) + "SELECT id, round(price, 6) AS score FROM (SELECT id, price FROM res JOIN docs USING (id) ORDER BY round(res.score, 9) DESC, id LIMIT 200) ORDER BY price DESC, id LIMIT 20",
+        "rerank_fallback": search(_PART, ["red"], False) + "SELECT id, round(score, 6) AS score, FALSE AS reranked FROM res ORDER BY round(res.score, 9) DESC, id LIMIT 20",
+        "cached_page": search(_PART, ["blue"], False) + "SELECT id, round(score, 6) AS score, TRUE AS cache_hit FROM res ORDER BY round(res.score, 9) DESC, id LIMIT 10 OFFSET 10",
         "availability_static": "SELECT p_partkey AS id FROM part WHERE p_size % 5 >= 2",
-        "availability_allow_list": "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)",
+        "availability_allow_list": "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
         "rerank_expr": search(_PART, ["red"], False) + "SELECT id, round(s, 6) AS score FROM (SELECT id, p + price / 10000 AS s FROM (SELECT id, price, res.score AS p FROM res JOIN docs USING (id) ORDER BY round(res.score, 9) DESC, id LIMIT 200)) ORDER BY round(s, 9) DESC, id LIMIT 20",
     }

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tamiz.operators import changefeed
 from tamiz.operators.buckets import BucketTable
 from tamiz.operators.suggest import term_rows
+from tamiz.session import materialize
 
 FLUSH_SECONDS = 5
 
@@ -48,6 +49,25 @@ def suggest_stream(documents: DataFrame, publish: Callable[[DataFrame], None], c
     return _trigger(suggest_counts(documents, fields).writeStream.outputMode("complete").foreachBatch(lambda df, _: publish(df)).option("checkpointLocation", checkpoint), available_now, seconds).start()
 
 
+def feed_shards(terms: DataFrame, shards: int) -> DataFrame:
+    """The suggest shard of every term, by its hash, so that a term's counts are in one shard."""
+    return terms.withColumn("shard_id", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
+
+
+def suggest_feed_stream(documents: DataFrame, send: Callable[[int, DataFrame], None], shards: int, checkpoint: str, fields: tuple[str, ...] = ("title",), failed: Callable[[int, Exception], None] = lambda shard, error: None, available_now: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
+    """Hands the terms of new documents to the suggest shards; a shard that fails is reported and doesn't hold up the others."""
+
+    def publish(batch: DataFrame, _: int) -> None:
+        terms = materialize(feed_shards(term_rows(batch, fields), shards), "feed")
+        for shard in range(shards):
+            try:
+                send(shard, terms.filter(F.col("shard_id") == shard))
+            except Exception as error:  # noqa: BLE001 - a shard may fail in any way
+                failed(shard, error)
+
+    return _trigger(documents.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint), available_now, seconds).start()
+
+
 def replicate_stream(operations: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS) -> StreamingQuery:
     """A durable copy of an operation log; catches up from its checkpoint."""
     return _trigger(operations.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint), available_now, seconds).start()

@@ -1,8 +1,8 @@
 import pytest
 
-from tamiz.plans import maintenance, retrieval
+from tamiz.plans import engine, maintenance, retrieval
 
-_PARTS = (maintenance, retrieval)
+_PARTS = (maintenance, retrieval, engine)
 _QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 _ORACLES = {k: s for p in _PARTS for k, s in p.oracles().items()}
 
