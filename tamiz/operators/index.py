@@ -1,6 +1,6 @@
 """Index tables of a document collection (OP-23 to 26, 50 to 62, 86).
 
-``postings(term, id, field, tf, dl, head)`` carries the length of the field and
+``postings(term, id, field, tf, dl, head, lead)`` carries the length of the field and
 whether the term is among its first three, so that scoring joins nothing but
 the expanded terms.  Stemming runs over the distinct vocabulary.
 """
@@ -40,14 +40,26 @@ def tokens(docs: DataFrame, schema: IndexSchema) -> DataFrame:
     return spoken.join(stems, ["lang", "term"]).select("id", "field", "dl", "pos", F.col("stem").alias("term"))
 
 
-def postings(tokens_: DataFrame) -> DataFrame:
-    return tokens_.groupBy("term", "id", "field").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), (F.min("pos") < HEAD).alias("head"))
+def postings(tokens_: DataFrame, schema: IndexSchema) -> DataFrame:
+    """``term, id, field, tf, dl, head, lead``; ``lead`` marks one row of each term and document, so that counting documents needs no further grouping."""
+    fields = [f.name for f in schema.text_fields]
+    of = lambda f, c: F.when(F.col("field") == f, F.col(c))
+    seen = [x for i, f in enumerate(fields) for x in (F.count_if(F.col("field") == f).cast("int").alias(f"tf{i}"), F.max(of(f, "dl")).alias(f"dl{i}"), F.min(of(f, "pos")).alias(f"pos{i}"))]
+    if not fields:
+        return tokens_.select("term", "id", "field", F.lit(0).alias("tf"), "dl", F.lit(False).alias("head"), F.lit(False).alias("lead"))
+    both = tokens_.groupBy("term", "id").agg(*seen)
+    rows = []
+    for i, f in enumerate(fields):
+        first = F.lit(True)
+        for j in range(i):
+            first &= F.col(f"tf{j}") == 0
+        rows.append(F.struct(F.lit(f).alias("field"), F.col(f"tf{i}").alias("tf"), F.col(f"dl{i}").alias("dl"), (F.col(f"pos{i}") < HEAD).alias("head"), first.alias("lead")))
+    return both.select("term", "id", F.explode(F.array(*rows)).alias("x")).select("term", "id", "x.*").filter(F.col("tf") > 0)
 
 
 def vocabulary(postings_: DataFrame) -> DataFrame:
     """``term, df``: documents that hold the term in any text field."""
-    per_doc = postings_.groupBy("term", "id").agg(F.lit(1).alias("one"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"))
+    return postings_.groupBy("term").agg(F.count_if("lead").alias("df"))
 
 
 def field_statistics(postings_: DataFrame, docs: DataFrame, schema: IndexSchema) -> DataFrame:
@@ -116,5 +128,5 @@ def live(docs: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
 
 def build(docs: DataFrame, schema: IndexSchema, tombstones: DataFrame | None = None) -> Index:
     docs = live(docs.select(*(F.col(f.name) for f in DOCUMENT)), tombstones)
-    p = postings(tokens(spread(docs), schema))
+    p = postings(tokens(spread(docs), schema), schema)
     return Index(schema, docs, p, vocabulary(p), field_statistics(p, docs, schema), columns(docs, schema))

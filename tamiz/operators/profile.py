@@ -118,17 +118,25 @@ def _nested(df: DataFrame, c: str) -> bool:
 # masks ------------------------------------------------------------------
 
 
-def mask(text: Column, long_text: int = 64) -> Column:
+def mask(text: Column, long_mask: int = 64) -> Column:
     """Character-class generalisation: runs of capitals, small letters, digits and blanks as one sign, others as they are.
 
-    Texts above ``long_text`` characters, whose masks would all differ, get
-    their set of classes and the power of two of their length.
+    In a mask of more than ``long_mask`` signs a group of up to six signs that
+    comes again and again stands once, with a star.  Masks that are still
+    longer, which would all differ, give their set of signs and the power of
+    two of their length.
     """
     m = F.regexp_replace(text, r"\p{Lu}+", "A")
     m = F.regexp_replace(m, r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a")
     m = F.regexp_replace(F.regexp_replace(m, r"\p{N}+", "9"), r"\s+", "_")
-    classes = F.array_join(F.array_sort(F.array_distinct(F.split(m, ""))), "")
-    return F.when(F.length(text) <= long_text, m).otherwise(F.concat(F.lit("~"), F.floor(F.log2(F.length(text))).cast("string"), F.lit(":"), classes))
+
+    def shorter(x: Column) -> Column:
+        signs = F.array_join(F.array_sort(F.array_distinct(F.split(x, ""))), "")
+        return F.when(F.length(x) <= long_mask, x).otherwise(F.concat(F.lit("~"), F.floor(F.log2(F.length(x))).cast("string"), F.lit(":"), signs))
+
+    # each step as the element of an array, so that it is computed once and not wherever it is mentioned
+    once = lambda x, then: F.transform(F.array(x), then)[0]
+    return once(m, lambda x: F.when(F.length(x) <= long_mask, x).otherwise(once(F.regexp_replace(x, r"(.{1,6}?)\1+", "$1*"), shorter)))
 
 
 def mask_counts(df: DataFrame, table: str, load: str = "load_id") -> DataFrame:
@@ -143,7 +151,7 @@ def mask_findings(counts: DataFrame, rare: float = 0.005, diverging: float = 0.2
 
     Of a column, the masks at or above ``rare`` are its dominant patterns.  A
     column where these cover less than half the values has no pattern to break
-    and yields no violations.  ``amount`` is the number of rows or the distance.
+    or to lose, and yields neither violations nor shifts.  ``amount`` is the number of rows or the distance.
     """
     col = ["table_name", "column_name"]
     masks = counts.groupBy(*col, "mask").agg(F.sum("n").alias("mn"))
@@ -158,5 +166,5 @@ def mask_findings(counts: DataFrame, rare: float = 0.005, diverging: float = 0.2
     now = share.select(*col, "load_id", "mask", (F.col("n") / F.col("ln")).alias("d"))
     then = share.filter(F.col("next").isNotNull()).select(*col, F.col("next").alias("load_id"), "mask", (-F.col("n") / F.col("ln")).alias("d"))
     first = per_load.groupBy(*col).agg(F.min("load_id").alias("first"))
-    moved = now.unionByName(then).groupBy(*col, "load_id", "mask").agg(F.abs(F.sum("d")).alias("d")).groupBy(*col, "load_id").agg((F.sum("d") / 2).alias("amount")).join(F.broadcast(first), col).filter((F.col("load_id") > F.col("first")) & (F.col("amount") > diverging))
+    moved = now.unionByName(then).groupBy(*col, "load_id", "mask").agg(F.abs(F.sum("d")).alias("d")).groupBy(*col, "load_id").agg((F.sum("d") / 2).alias("amount")).join(F.broadcast(first), col).join(F.broadcast(covered), col).filter((F.col("load_id") > F.col("first")) & (F.col("amount") > diverging))
     return violating.unionByName(moved.select(*col, "load_id", F.lit("").alias("mask"), "amount", F.lit("mask_shift").alias("finding")))

@@ -3,8 +3,9 @@
 A query's terms are expanded on the vocabulary, which is small, and only then
 joined to the postings; of one query, up to ``PUSHED_TERMS`` expanded terms go
 to the scan as a predicate, which skips all other parts of a table sorted by
-term.  Documents are scored in two groupings on one shuffle by document.  Many
-queries run as one plan: queries are rows like any others.
+term.  Documents are scored by term on one shuffle by document, and queries join
+the scored terms.  Many queries run as one plan: queries are rows like any
+others, and a term that many of them hold is expanded and scored once.
 
 Retrieval is exact: no cut of candidates before the order.
 """
@@ -136,44 +137,44 @@ def expand_request(vocabulary: DataFrame, tokens: tuple[str, ...], typo_toleranc
     return out
 
 
-WANTED = T.StructType([*TOKENS, T.StructField("n_tokens", T.IntegerType()), T.StructField("term", T.StringType()), *(T.StructField(c, T.BooleanType()) for c in "epf"), T.StructField("df", T.LongType())])
+MATCHES = T.StructType([T.StructField("q", T.StringType()), T.StructField("term", T.StringType()), *(T.StructField(c, T.BooleanType()) for c in "epf"), T.StructField("df", T.LongType())])
 
 
-def wanted_terms(terms: DataFrame, matches: DataFrame) -> DataFrame:
-    """The columns of ``WANTED``: every query position with the vocabulary terms that serve it."""
-    counts = terms.groupBy("qid").agg(F.count("*").cast("int").alias("n_tokens"))
-    return terms.join(counts, "qid").join(matches, "q")
-
+def score(index: Index, terms: DataFrame, matches: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """``qid, id, n_tokens, n_matched, and_score, or_score`` of every document that a term retrieves.
 
-def score(index: Index, wanted: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """``qid, id, n_tokens, n_matched, and_score, or_score`` of every document that a term retrieves."""
+    ``terms`` are the positions of all queries (``TOKENS``), ``matches`` what
+    :func:`expand` says of their distinct terms.  A term's documents are scored
+    once, however many queries ask for it; all groupings are on one shuffle by
+    document, and queries join the scored terms.
+    """
     postings = index.postings if postings is None else postings
     boosts = {f.name: f.boost for f in index.schema.text_fields}
     stats = index.stats
     pick = lambda values, default: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v)))), F.col("field")), F.lit(default))
     n_docs = float(max((n for n, _ in stats.values()), default=0))
-    hits = postings.join(wanted, "term").repartition("qid", "id")
-    per_token = hits.groupBy("qid", "id", "field", "qpos").agg(
+    hits = postings.join(matches, "term").repartition("id")
+    per_field = hits.groupBy("q", "id", "field").agg(
         F.max("e").alias("e"),
         F.sum(F.when(F.col("p"), F.col("tf"))).alias("ptf"),
         F.sum(F.when(F.col("f"), F.col("tf"))).alias("ftf"),
         F.max(F.col("p") & F.col("head") & (F.col("field") == "title")).alias("head"),
         F.first("dl").alias("dl"),
         F.first("df").alias("df"),
-        F.first("n_tokens").alias("n_tokens"),
     )
     weight = idf(F.lit(n_docs), F.col("df"))
     avgdl = pick({k: a for k, (_, a) in stats.items()}, 1.0)
     value = lambda tf: pick(boosts, 1.0) * term_score(tf, F.col("dl"), avgdl, weight)
-    scored = per_token.select("qid", "id", "qpos", "e", "head", "n_tokens", value(F.coalesce("ptf", "ftf")).alias("and_part"), value(F.col("ptf")).alias("or_part"))
-    # by position and then by document: three groupings on the one shuffle, and nothing counted distinct
-    per_position = scored.groupBy("qid", "id", "qpos").agg(F.first("n_tokens").alias("n_tokens"), F.max("e").alias("e"), F.max("head").alias("head"), F.sum("and_part").alias("and_part"), F.sum("or_part").alias("or_part"))
-    per_doc = per_position.groupBy("qid", "id").agg(
+    scored = per_field.select("q", "id", "e", "head", value(F.coalesce("ptf", "ftf")).alias("and_part"), value(F.col("ptf")).alias("or_part"))
+    per_term = scored.groupBy("q", "id").agg(F.max("e").alias("e"), F.max("head").alias("head"), F.sum("and_part").alias("and_part"), F.sum("or_part").alias("or_part"))
+    counts = terms.groupBy("qid").agg(F.count("*").cast("int").alias("n_tokens"))
+    asked = terms.groupBy("qid", "q").agg(F.count("*").cast("int").alias("times")).join(counts, "qid")
+    per_doc = per_term.join(asked, "q").groupBy("qid", "id").agg(
         F.first("n_tokens").alias("n_tokens"),
-        F.count_if("e").cast("int").alias("n_matched"),
-        F.count_if("head").cast("int").alias("n_head"),
-        F.coalesce(F.sum("and_part"), F.lit(0.0)).alias("plain"),
-        F.coalesce(F.sum("or_part"), F.lit(0.0)).alias("loose"),
+        F.sum(F.when(F.col("e"), F.col("times"))).cast("int").alias("n_matched"),
+        F.sum(F.when(F.col("head"), F.col("times"))).cast("int").alias("n_head"),
+        F.coalesce(F.sum(F.col("and_part") * F.col("times")), F.lit(0.0)).alias("plain"),
+        F.coalesce(F.sum(F.col("or_part") * F.col("times")), F.lit(0.0)).alias("loose"),
     )
     boosted = F.when(F.col("n_head") == F.col("n_tokens"), F.col("plain") * TITLE_BOOST).otherwise(F.col("plain"))
     return per_doc.filter(F.col("n_matched") > 0).select("qid", "id", "n_tokens", "n_matched", F.when(F.col("n_matched") == F.col("n_tokens"), boosted).otherwise(0.0).alias("and_score"), (F.col("loose") * F.col("n_matched")).alias("or_score"))
@@ -204,7 +205,7 @@ def top_per_query(matched: DataFrame, k: int, salts: int = 32) -> DataFrame:
 def search_many(index: Index, queries: DataFrame, k: int = 20, typo_tolerance: bool = True) -> DataFrame:
     """``qid, id, score, mode, rank``: the best documents of each row of ``qid, query``."""
     terms = query_tokens(queries, index)
-    return top_per_query(choose(score(index, wanted_terms(terms, expand(index.vocabulary, terms, typo_tolerance)))), k)
+    return top_per_query(choose(score(index, terms, expand(index.vocabulary, terms, typo_tolerance))), k)
 
 
 def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[DataFrame, str]:
@@ -221,16 +222,15 @@ def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[D
     parsed = Understanding.default(index.schema, request.language).run(request.query)
     tokens, postings = parsed.tokens, index.postings
     found = expand_request(index.vocabulary, tokens, request.typo_tolerance) if tokens else {}
+    terms = F.broadcast(spark.createDataFrame([(0, i, t) for i, t in enumerate(tokens)], TOKENS))  # a query of bounded length
     if found is None:
-        terms = spark.createDataFrame([(0, i, t) for i, t in enumerate(tokens)], TOKENS)
-        wanted = wanted_terms(terms, expand(index.vocabulary, terms, request.typo_tolerance))
+        matches = expand(index.vocabulary, terms, request.typo_tolerance)
     else:
-        # at most PUSHED_TERMS rows a query position
-        wanted = F.broadcast(spark.createDataFrame([(0, i, q, len(tokens), *m) for i, q in enumerate(tokens) for m in found[q]], WANTED))
+        matches = F.broadcast(spark.createDataFrame([(q, *m) for q, ms in found.items() for m in ms], MATCHES))  # at most PUSHED_TERMS rows
         postings = postings.filter(F.col("term").isin(sorted({m[0] for ms in found.values() for m in ms})))
     if allowed is not None:
         postings = postings.join(allowed, "id", "left_semi")
-    scored = score(index, wanted, postings)
+    scored = score(index, terms, matches, postings)
     if len(tokens) > 1:
         impossible = found is not None and not all(any(m[1] for m in found[q]) for q in tokens)
         if not impossible:

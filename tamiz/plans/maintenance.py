@@ -111,6 +111,40 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return p2_profile(spark, d).filter(F.concat_ws(".", "table_name", "column_name").isin("catalog_docs.title", "catalog_docs.category", "catalog_docs.price", "item_listings.condition", "item_listings.status", "item_listings.title")).drop("min_value", "max_value")
 
 
+TEXTS = {"catalog_docs": ["title", "category"], "item_listings": ["title", "condition", "status", "category_id", "thumbnail"]}
+
+
+def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges by load of the text columns, and of the prices as numbers."""
+    found = p2_profile(spark, d)
+    named = F.concat_ws(".", "table_name", "column_name")
+    texts = found.filter(named.isin([f"{t}.{c}" for t, cs in TEXTS.items() for c in cs])).select("table_name", "column_name", "load_id", "n_rows", "min_value", "max_value", F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("most"))
+    none = F.lit(None).cast("string")
+    return texts.unionByName(found.filter("column_name = 'price'").select("table_name", "column_name", "load_id", "n_rows", none.alias("min_value"), none.alias("max_value"), F.col("min_value").cast("double").alias("least"), F.col("max_value").cast("double").alias("most")))
+
+
+def _sql_p2_ranges() -> str:
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, load_id, count(*) AS n_rows, {lo} AS min_value, {hi} AS max_value, {least} AS least, {most} AS most FROM {t} GROUP BY load_id"
+    rows = [one.format(t=t, c=c, lo=f"min({c})", hi=f"max({c})", least="CAST(NULL AS DOUBLE)", most="CAST(NULL AS DOUBLE)") for t, cs in TEXTS.items() for c in cs]
+    return " UNION ALL ".join([*rows, *(one.format(t=t, c="price", lo="NULL", hi="NULL", least="min(price)", most="max(price)") for t in TEXTS)])
+
+
+# The attributes of attr_defs by type.
+COLUMNS = {
+    "VARCHAR": ["BRAND", "MODEL", "MATERIAL", "COLOR", "COMPATIBLE_WITH"],
+    "BIGINT": ["WEIGHT", "LENGTH", "CAPACITY", "STORAGE", "POWER", "SHOE_SIZE", "WARRANTY", "PACK_UNITS"],
+    "BOOLEAN": ["WIRELESS", "WATERPROOF"],
+}
+
+
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with its lists as text and its failures counted."""
+    wide_ = p4_wide(spark, d)
+    lists = [c for c, kind in wide_.dtypes if kind == "array<string>"]
+    failed = F.aggregate("cast_failures", F.lit(0).cast("bigint"), lambda n, x: n + x["n"]).alias("n_failures")
+    return wide_.select("origin", "entity_id", *(F.array_join(c, ",").alias(c) if c in lists else c for c in wide_.columns[2:-1]), F.size("cast_failures").alias("n_failed_cells"), failed)
+
+
 def _sql_p2_shares() -> str:
     price = "count(*) FILTER (WHERE price IS NOT NULL AND NOT (isfinite(price) AND price > 0 AND price <= 5000000 AND abs(price * 100 - round(price * 100)) <= 0.0001))"
     isin = lambda c, vs: f"count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({', '.join(repr(v) for v in vs)}))"
@@ -137,7 +171,8 @@ def _sql_p2_found() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _sql_p4_found() -> str:
+def _sql_p4_cells() -> str:
+    """``WITH`` clauses that end in ``c``: every row of a defined attribute with its cell."""
     blanks, no_value = r"[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+", ", ".join(f"'{v}'" for v in wide.NO_VALUE)
     units = ", ".join(f"('{u}', '{b}', {f})" for u, (b, f) in wide.UNITS.items())
     squeeze = lambda c: f"trim(regexp_replace({c}, '{blanks}', ' ', 'g'))"
@@ -157,19 +192,35 @@ c AS (SELECT m.*, CASE value_type
     WHEN 'number' THEN CAST(CAST(coalesce(CASE WHEN NOT (starts_with(f, 'x') AND unit <> 'units') THEN CASE WHEN m.spelled = '' THEN round(digits) WHEN u.base = unit THEN round(digits * u.factor) END END, round(n)) AS BIGINT) AS VARCHAR)
     WHEN 'flag' THEN coalesce(CAST(b AS VARCHAR), CASE WHEN f IN ({flags(wide.TRUE)}) THEN 'true' WHEN f IN ({flags(wide.FALSE)}) THEN 'false' END)
     WHEN 'list' THEN nullif(array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(regexp_split_to_array(t, '[,;/|]'), a), lambda x: lower({squeeze('x')})), lambda x: {fold('x')} NOT IN ({no_value})))), ','), '')
-    ELSE t END AS cell FROM m LEFT JOIN u ON u.spelled = m.spelled)
-SELECT origin, entity_id, attr_id, cell AS cell_value FROM (
-  SELECT *, row_number() OVER (PARTITION BY origin, entity_id, attr_id ORDER BY upd DESC, tie DESC, cell DESC) AS rn FROM c WHERE cell IS NOT NULL AND entity_id IS NOT NULL) WHERE rn = 1"""
+    ELSE t END AS cell FROM m LEFT JOIN u ON u.spelled = m.spelled),
+f AS (SELECT origin, entity_id, attr_id, cell AS cell_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin, entity_id, attr_id ORDER BY upd DESC, tie DESC, cell DESC) AS rn FROM c WHERE cell IS NOT NULL AND entity_id IS NOT NULL) WHERE rn = 1),
+bad AS (SELECT origin, entity_id, count(DISTINCT attr_id) AS cells, count(*) AS n FROM c WHERE entity_id IS NOT NULL AND cell IS NULL
+  AND (t IS NOT NULL OR (n IS NOT NULL AND NOT isnan(n) AND abs(n) < 9e15) OR b IS NOT NULL OR {text("array_to_string(a, ', ')")} IS NOT NULL) GROUP BY origin, entity_id)
+"""
+
+
+def _sql_p4_found() -> str:
+    return _sql_p4_cells() + "SELECT origin, entity_id, attr_id, cell_value FROM f"
+
+
+def _sql_p4_columns() -> str:
+    cells = ", ".join(f"CAST(max(cell_value) FILTER (WHERE attr_id = '{c}') AS {kind}) AS {c.lower()}" for kind, cs in COLUMNS.items() for c in cs)
+    return _sql_p4_cells() + f""", e AS (SELECT DISTINCT 'item' AS origin, item_id AS entity_id FROM item_attrs WHERE item_id IS NOT NULL UNION ALL SELECT DISTINCT 'document', CAST(id AS VARCHAR) FROM catalog_docs WHERE id IS NOT NULL)
+SELECT e.origin, e.entity_id, {cells}, CAST(coalesce(any_value(bad.cells), 0) AS INTEGER) AS n_failed_cells, CAST(coalesce(any_value(bad.n), 0) AS BIGINT) AS n_failures
+FROM e LEFT JOIN f ON f.origin = e.origin AND f.entity_id = e.entity_id LEFT JOIN bad ON bad.origin = e.origin AND bad.entity_id = e.entity_id GROUP BY e.origin, e.entity_id"""
 
 
-QUERIES = {"p2_method": p2_method, "p2_found": p2_found, "p2_shares": p2_shares, "p2_profile": p2_profile, "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_state": p5_state}
+QUERIES = {"p2_method": p2_method, "p2_found": p2_found, "p2_shares": p2_shares, "p2_ranges": p2_ranges, "p2_profile": p2_profile, "p4_found": p4_found, "p4_wide": p4_wide, "p4_columns": p4_columns, "p5_found": p5_found, "p5_state": p5_state}
 
 
 def oracles() -> dict[str, str]:
     return {
         "p2_found": _sql_p2_found(),
         "p2_shares": _sql_p2_shares(),
+        "p2_ranges": _sql_p2_ranges(),
         "p4_found": _sql_p4_found(),
+        "p4_columns": _sql_p4_columns(),
         "p5_found": f"SELECT doc_id, wal_gen, seq FROM ({_LATEST})",
         "p5_state": f"SELECT doc_id, wal_gen, seq, doc.title AS title, doc.price AS price, doc.category AS category FROM ({_LATEST})",
     }

@@ -80,7 +80,7 @@ def keyword_terms(spark, d):
 
 
 def postings(spark, d):
-    return _index(spark, d, text_documents).postings
+    return _index(spark, d, text_documents).postings.drop("lead")
 
 
 def stem_es(spark, d):

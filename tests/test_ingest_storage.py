@@ -91,6 +91,34 @@ def test_store_flushes_by_size(spark, tmp_path):
     assert storage.Store(spark, str(tmp_path / "none")).documents().count() == 0
 
 
+def test_folders_of_old_manifests_go(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path))
+    for i in range(10):
+        s.index(docs(spark, (i, "a"), (i + 1, "b")))
+        s.flush()
+    named = {*s.manifest.segments, *s.manifest.log}
+    left = [p for kind in ("segments", "oplog") for p in (tmp_path / kind).iterdir() if p.is_dir()]
+    assert len(left) <= 2 * storage.KEPT + len(named) and len(list((tmp_path / "manifest").glob("*.json"))) <= storage.KEPT
+    assert s.documents().count() == 11 and storage.Store(spark, str(tmp_path)).documents().count() == 11
+
+
+def test_replica(spark, tmp_path):
+    s, r = storage.Store(spark, str(tmp_path / "s")), storage.Store(spark, str(tmp_path / "r"))
+    s.index(docs(spark, (1, "a"), (2, "b")))
+    s.flush()
+    assert storage.catch_up(s, r) == "full" and ids(r.documents()) == [(1, "a"), (2, "b")] and storage.catch_up(s, r) == "none"
+    s.delete(spark.createDataFrame([(2,)], "id long"))
+    s.index(docs(spark, (1, "c")))
+    assert storage.catch_up(s, r) == "log" and ids(r.documents()) == [(1, "c")]
+    r.apply(s.read_since(0))  # what came before changes nothing
+    assert ids(r.documents()) == [(1, "c")] and r.manifest.next_seq == s.manifest.next_seq
+    s.flush()
+    assert storage.catch_up(s, r) == "none"
+    s.index(docs(spark, (3, "d")))
+    s.flush()
+    assert storage.catch_up(s, r) == "full" and ids(r.documents()) == [(1, "c"), (3, "d")]
+
+
 def test_merge_policy():
     assert storage.merges({"a": 1, "b": 2}) == []
     assert storage.merges({"a": 5, "b": 2, "c": 9}) == ["b", "a", "c"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tamiz.operators import index as ix
 from tamiz.operators import search as se
 from tamiz.operators.filters import apply_filters, facets
-from tamiz.operators.ranking import AllowListAvailability, AttributeAvailability, Breaker, FunctionRanker, QueryCache, ScoreRanker, Searcher, make_ranker
+from tamiz.operators.ranking import AllowListAvailability, AttributeAvailability, BatchedRanker, Breaker, FunctionRanker, QueryCache, ScoreRanker, Searcher, make_ranker
 from tamiz.plans.request import Eq, In, Range, SearchRequest, Sort, Understanding
 from tamiz.schema import DOCUMENT, FieldConfig, FieldType, IndexSchema, Language
 
@@ -200,3 +200,62 @@ def test_no_python_in_the_scoring_plan(spark):
     index = make(spark, PHONES, IndexSchema.default(None))
     plan = se.search(index, SearchRequest("phone")).hits._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "TakeOrdered" in plan
+
+
+def test_typing_errors_meet_by_keys(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcñ") for _ in range(n))
+
+    def mistyped(w):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abcñ") + w[i:], w[:i] + rng.choice("abcñ") + w[i + 1 :]])
+        return w or "a"
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        return row[-1]
+
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, *range(se.LONG_TERM - 2, se.LONG_TERM + 5), 30]
+    terms = {word(rng.choice(lengths)) for _ in range(300)} | {"x" * 2000}
+    asked = {mistyped(rng.choice(sorted(terms))) for _ in range(200)} | {"x" * 2000, "x" * 1500}
+    vocabulary, q = spark.createDataFrame([(t, 1) for t in terms], "term string, df long"), spark.createDataFrame([(w,) for w in asked], "q string")
+    rows = se.expand(vocabulary, q, True).collect()
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= (1 if len(a.encode()) <= 4 else 2)
+    assert {(r.q, r.term) for r in rows if r.f} == {(a, b) for a in asked for b in terms if len(a.encode()) >= 3 and near(a, b)}
+    assert {(r.q, r.term) for r in rows if r.p} == {(a, b) for a in asked for b in terms if b.startswith(a)}
+
+
+def test_a_term_said_twice_counts_twice(spark):
+    index = make(spark, PHONES)
+    once, twice = (se.search(index, SearchRequest(q)).hits.collect() for q in ("samsung phone", "samsung samsung phone"))
+    assert [h.id for h in once] == [h.id for h in twice] == [1] and twice[0].score > once[0].score
+
+
+def test_facets_come_in_order(spark):
+    rows = [(i, "red thing", "", 1.0, c, {}) for i, c in enumerate(["b", "a", "a", "c", "b", "d"])]
+    found = se.search(make(spark, rows), SearchRequest("", aggregations=("category",)))
+    assert [(r.value, r["count"]) for r in found.facets.collect()] == [("a", 2), ("b", 2), ("c", 1), ("d", 1)]
+
+
+def test_written_index_skips_other_terms(spark, tmp_path):
+    index = make(spark, PHONES).write(str(tmp_path))
+    assert [h.id for h in se.search(index, SearchRequest("samsung")).hits.collect()] == [1]
+    plan = index.postings.filter(F.col("term").isin(["samsung"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [samsung])]" in plan or "EqualTo(term,samsung)" in plan
+
+
+def test_batched_ranker():
+    import pandas as pd
+
+    candidates = pd.DataFrame({"id": range(10), "score": [1.0] * 10})
+    answer = lambda q, c: c.assign(score=c["id"].astype(float)).iloc[1:]  # noqa: E731 - the first of each call stays without an answer
+    got = BatchedRanker(answer, batch=4).rerank("q", candidates)
+    assert list(got["id"]) == [9, 7, 6, 5, 3, 2, 1, 0, 4, 8]
