@@ -121,7 +121,7 @@ def _nested(df: DataFrame, c: str) -> bool:
 def mask(text: Column, long_mask: int = 64) -> Column:
     """Character-class generalisation: runs of capitals, small letters, digits and blanks as one sign, others as they are.
 
-    In a mask of more than ``long_mask`` signs a group of up to six signs that
+    In a mask of more than ``long_mask`` signs a group of up to 16 signs that
     comes again and again stands once, with a star.  Masks that are still
     longer, which would all differ, give their set of signs and the power of
     two of their length.
@@ -136,7 +136,7 @@ def mask(text: Column, long_mask: int = 64) -> Column:
 
     # each step as the element of an array, so that it is computed once and not wherever it is mentioned
     once = lambda x, then: F.transform(F.array(x), then)[0]
-    return once(m, lambda x: F.when(F.length(x) <= long_mask, x).otherwise(once(F.regexp_replace(x, r"(.{1,6}?)\1+", "$1*"), shorter)))
+    return once(m, lambda x: F.when(F.length(x) <= long_mask, x).otherwise(once(F.regexp_replace(x, r"(.{1,16}?)\1+", "$1*"), shorter)))
 
 
 def mask_counts(df: DataFrame, table: str, load: str = "load_id") -> DataFrame:
