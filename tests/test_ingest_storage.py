@@ -102,6 +102,15 @@ def test_folders_of_old_manifests_go(spark, tmp_path):
     assert s.documents().count() == 11 and storage.Store(spark, str(tmp_path)).documents().count() == 11
 
 
+def test_store_without_operations(spark, tmp_path):
+    s = storage.Store(spark, str(tmp_path))
+    s.index(docs(spark))
+    s.index(docs(spark, (1, "a")).filter("false"))
+    s.flush()
+    s.delete(spark.createDataFrame([], "id long"))
+    assert s.manifest.next_seq == 0 and s.compact() == 0 and s.documents().count() == 0
+
+
 def test_replica(spark, tmp_path):
     s, r = storage.Store(spark, str(tmp_path / "s")), storage.Store(spark, str(tmp_path / "r"))
     s.index(docs(spark, (1, "a"), (2, "b")))
