@@ -4,8 +4,8 @@ A query's terms are expanded on the vocabulary, which is small, and only then
 joined to the postings; of one query, up to ``PUSHED_TERMS`` expanded terms go
 to the scan as a predicate, which skips all other parts of a table sorted by
 term.  Documents are scored by term on one shuffle by document, and queries join
-the scored terms.  Many queries run as one plan: queries are rows like any
-others, and a term that many of them hold is expanded and scored once.
+the scored terms.  Many queries run over packed blocks of documents; a term that
+many of them hold is expanded once.
 
 Retrieval is exact: no cut of candidates before the order.
 """
@@ -21,7 +21,9 @@ from tamiz.functions.analysis import term_array
 from tamiz.functions.stemmers import stem_column
 from tamiz.operators.filters import apply_filters, facets, ordered_facets
 from tamiz.operators.index import Index
+from tamiz.operators.packed import RESULT, Scoring, best, chunks, pack
 from tamiz.plans.request import SearchRequest, SearchResult, Understanding
+from tamiz.session import materialize
 
 K1, B = 1.2, 0.75
 PUSHED_TERMS = 1000
@@ -56,18 +58,24 @@ def expand(vocabulary: DataFrame, terms: DataFrame, typo_tolerance: bool = True)
     """
     q = terms.select("q").distinct()
     lengths = q.agg(F.collect_set(F.length("q")).alias("_lengths"))  # one row: the lengths that occur among the query's terms
-    starts = vocabulary.crossJoin(F.broadcast(lengths)).select("term", "df", F.explode_outer(F.transform(F.filter("_lengths", lambda n: n <= F.length("term")), lambda n: F.substr("term", F.lit(1), n))).alias("q"))
-    both = starts.join(q, "q").select("q", "term", "df", F.lit(True).alias("p"), F.lit(None).cast("int").alias("dist"))
-    known = both.select("q").distinct().withColumn("has", F.lit(True))
-    if typo_tolerance:
-        asked = q.filter(F.octet_length("q") >= 3).select("q", F.explode(_asked_keys(F.col("q"), _count_edits())).alias("key"))
-        held = vocabulary.select("term", "df", F.explode(_near_keys(F.col("term"))).alias("key"))
-        close = held.join(asked, "key").select("q", "term", "df").distinct().withColumn("dist", F.levenshtein("q", "term", 2))
-        both = both.unionByName(close.filter((F.col("dist") >= 0) & (F.col("dist") <= _count_edits())).select("q", "term", "df", F.lit(False).alias("p"), "dist"))
-    best = both.groupBy("q", "term").agg(F.max("p").alias("p"), F.min("dist").alias("dist"))
-    joined = best.join(known, "q", "left").join(vocabulary.select(F.col("term").alias("q"), "df"), "q", "left")
-    retrieves = F.col("p") | (F.col("has").isNull() & (F.octet_length("q") > 4) & F.coalesce(F.col("dist") <= F.when(F.octet_length("q") <= 6, 1).otherwise(2), F.lit(False)))
-    return joined.select("q", "term", retrieves.alias("e"), "p", F.col("dist").isNotNull().alias("f"), F.coalesce("df", F.lit(1)).alias("df"))
+    begins = F.transform(F.filter("_lengths", lambda n: n <= F.length("term")), lambda n: _start_key(F.substr("term", F.lit(1), n)))
+    wide, own = vocabulary.crossJoin(F.broadcast(lengths)), F.array(_start_key(F.col("q")))
+    near = F.octet_length("q") >= 3 if typo_tolerance else F.lit(False)
+    # both kinds of keys meet in one join: a union of two joins may zip unequal numbers of partitions; not by broadcast, which goes by the size before the keys
+    held = wide.select("term", "df", F.explode(F.concat(begins, _near_keys(F.col("term"))) if typo_tolerance else begins).alias("key"))
+    asked = q.select("q", F.explode(F.when(near, F.concat(own, _asked_keys(F.col("q"), _count_edits()))).otherwise(own) if typo_tolerance else own).alias("key"))
+    pairs = held.join(asked.hint("merge"), "key").select("q", "term", "df").distinct()
+    met = pairs.select("q", "term", F.col("term").startswith(F.col("q")).alias("p"), F.when(near, F.levenshtein("q", "term", 2)).alias("dist"))
+    met = met.withColumn("f", F.coalesce((F.col("dist") >= 0) & (F.col("dist") <= _count_edits()), F.lit(False))).filter(F.col("p") | F.col("f"))
+    known = met.groupBy("q").agg(F.max("p").alias("has"))
+    exact = vocabulary.join(q.withColumnRenamed("q", "term"), "term", "left_semi").select(F.col("term").alias("q"), "df")
+    joined = met.join(known, "q").join(exact, "q", "left")
+    retrieves = F.col("p") | (~F.col("has") & (F.octet_length("q") > 4) & F.coalesce(F.col("f") & (F.col("dist") <= F.when(F.octet_length("q") <= 6, 1).otherwise(2)), F.lit(False)))
+    return joined.select("q", "term", retrieves.alias("e"), "p", "f", F.coalesce("df", F.lit(1)).alias("df"))
+
+
+def _start_key(start: Column) -> Column:
+    return F.xxhash64(F.lit("start"), start)
 
 
 def _without(w: Column, most: Column) -> Column:
@@ -180,32 +188,30 @@ def score(index: Index, terms: DataFrame, matches: DataFrame, postings: DataFram
     return per_doc.filter(F.col("n_matched") > 0).select("qid", "id", "n_tokens", "n_matched", F.when(F.col("n_matched") == F.col("n_tokens"), boosted).otherwise(0.0).alias("and_score"), (F.col("loose") * F.col("n_matched")).alias("or_score"))
 
 
-def choose(scored: DataFrame) -> DataFrame:
-    """``qid, id, score, mode``: the documents that hold all terms; for a query of several terms with none, those that hold any."""
-    some = scored.filter(F.col("and_score") > 0).select("qid").distinct().withColumn("some", F.lit(True))
-    both = scored.join(some, "qid", "left")
-    mode = F.when(F.col("some"), "and").otherwise("or_fallback")
-    value = F.when(F.col("some"), F.col("and_score")).when(F.col("n_tokens") > 1, F.col("or_score")).otherwise(0.0)
-    return both.select("qid", "id", value.alias("score"), mode.alias("mode")).filter(F.col("score") > 0)
-
-
 def even_score() -> Column:
     """The score without the noise of the order in which its parts were added, so that equal scores are ties."""
     return F.round("score", 9)
 
 
-def top_per_query(matched: DataFrame, k: int, salts: int = 32) -> DataFrame:
-    """The ``k`` best of each query, ties by id: first within salts, so that no query's matches meet in one task."""
-    order = [F.desc(even_score()), F.asc("id")]
-    first = W.partitionBy("qid", "_salt").orderBy(*order)
-    few = matched.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= k)
-
-
 def search_many(index: Index, queries: DataFrame, k: int = 20, typo_tolerance: bool = True) -> DataFrame:
-    """``qid, id, score, mode, rank``: the best documents of each row of ``qid, query``."""
+    """``qid, id, score, mode, rank``: the best documents of each row of ``qid, query``.
+
+    Blocks of documents meet chunks of queries (:mod:`tamiz.operators.packed`);
+    of each pair the ``k`` best of a query leave it.  Made of the index's
+    documents alone, so an index that serves nothing else needs no tables.
+    """
+    fields = index.schema.text_fields
+    if not fields or k < 1:
+        return queries.sparkSession.createDataFrame([], f"{RESULT}, rank int")
     terms = query_tokens(queries, index)
-    return top_per_query(choose(score(index, terms, expand(index.vocabulary, terms, typo_tolerance))), k)
+    packed = pack(index.documents, index.schema)
+    words = materialize(terms.select("q").distinct(), "words")
+    matches = materialize(expand(packed.vocabulary, words, typo_tolerance), "matches")
+    how = Scoring(packed.n_docs, tuple(f.boost for f in fields), packed.lengths, K1, B, TITLE_BOOST, k)
+    found = best(packed, chunks(terms, matches, queries.count()), how)
+    # a query whose terms some document holds all of takes those of all blocks, and no others
+    ranked = found.withColumn("_mode", F.min("mode").over(W.partitionBy("qid"))).filter(F.col("mode") == F.col("_mode"))
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(even_score()), F.asc("id")))).filter(F.col("rank") <= k).drop("_mode")
 
 
 def match(index: Index, request: SearchRequest, strict: bool = False) -> tuple[DataFrame, str]:
