@@ -29,8 +29,9 @@ from tamiz.session import materialize
 BLOCK, CHUNK = 16_384, 131_072
 LEAST_BLOCK = 2_048  # smaller blocks don't pay for more tasks
 BLOCK_TERMS = 8_000_000  # a block of long texts ends before it has BLOCK documents
-DENSE, DENSE_BYTES = 12, 400_000_000  # a term in one document of 12 is added as a whole vector, as long as those vectors fit
+DENSE, DENSE_BYTES = 12, 200_000_000  # a term in one document of 12 is added as a whole vector, as long as those vectors fit
 GROUP = 64
+SHARED = 4  # so many dense terms of a query are summed once for its neighbours
 FLUSH = 200_000
 HEAD = 3
 RESULT = "qid long, id long, score double, mode string"
@@ -265,60 +266,93 @@ def _terms(block: dict[str, np.ndarray], queries: dict[str, np.ndarray], how: Sc
 def _scored(block: dict[str, np.ndarray], queries: dict[str, np.ndarray], how: Scoring) -> Iterator[pa.RecordBatch]:
     n_docs, n_queries = len(block["ids"]), len(queries["qids"])
     t = _terms(block, queries, how)
-    asked, times, begin = queries["q"].astype(np.int64), queries["times"].astype(np.int64), queries["starts"].astype(np.int64).tolist()
-    n_tokens = np.add.reduceat(times, begin[:-1]) if n_queries else times
-    single = t.loose.astype(np.float32)
-    hit = t.e.astype(np.float32)
-    place = t.doc
-    bounds = list(zip(t.starts[:-1].tolist(), t.starts[1:].tolist()))
-    uses = np.bincount(asked, minlength=len(bounds))
-    common = [q for q in np.argsort(-uses, kind="stable").tolist() if bounds[q][1] - bounds[q][0] > n_docs // DENSE and uses[q] > 1][: max(1, DENSE_BYTES // (8 * max(n_docs, 1)))]
-    dense = {}
+    starts, asked, times = (queries[x].astype(np.int64) for x in ("starts", "q", "times"))
+    n_tokens = np.add.reduceat(times, starts[:-1])
+    single, hit = t.loose.astype(np.float32), t.e.astype(np.float32)
+    groups = -(-n_docs // GROUP)
+    width = groups * GROUP
+    bounds, uses = list(zip(t.starts[:-1].tolist(), t.starts[1:].tolist())), np.bincount(asked, minlength=len(t.starts) - 1)
+    common = [q for q in np.argsort(-uses, kind="stable").tolist() if bounds[q][1] - bounds[q][0] > n_docs // DENSE and uses[q] > 1][: max(1, DENSE_BYTES // (8 * width))]
+    dense: dict[int, np.ndarray] = {}
     for q in common:
         a, b = bounds[q]
-        whole = np.zeros((2, n_docs), np.float32)
-        whole[0][place[a:b]], whole[1][place[a:b]] = single[a:b], hit[a:b]
-        dense[q] = whole
+        dense[q] = whole = np.zeros((2, width), np.float32)
+        whole[0][t.doc[a:b]], whole[1][t.doc[a:b]] = single[a:b], hit[a:b]
     sparse: dict[int, tuple] = {}
-    sums, product = np.zeros((2, n_docs), np.float32), np.zeros(n_docs, np.float32)
-    score, matched = sums
-    groups = max(1, n_docs // GROUP)
-    grouped, rest = product[: groups * (n_docs // groups)].reshape(n_docs // groups, groups) if n_docs else None, product[groups * (n_docs // groups) :] if n_docs else None
+    # dense terms first, the most used before the others; queries in their order, so that neighbours share sums
+    rank = np.full(len(uses), len(common))
+    rank[common] = np.arange(len(common))
+    query = np.repeat(np.arange(n_queries), np.diff(starts))
+    order = np.lexsort((asked, rank[asked], query))
+    asked, times = asked[order], times[order]
+    n_dense = np.bincount(query, weights=rank[asked] < len(common), minlength=n_queries).astype(np.int64)
+    firsts = [np.where(n_dense > j, rank[asked[np.minimum(starts[:-1] + j, len(asked) - 1)]], -1) for j in range(SHARED)]
+    mixed = np.add.reduceat((asked * 31 + times) * np.int64(-7046029254386353131), starts[:-1])
+    turn = np.lexsort((mixed, *firsts[::-1])).tolist()
+    lists, begin, n_dense, all_tokens = list(zip(asked.tolist(), times.tolist())), starts.tolist(), n_dense.tolist(), n_tokens.tolist()
+
+    nothing, product = np.zeros((2, width), np.float32), np.zeros(width, np.float32)
+    sums, levels = np.zeros((2, width), np.float32), [np.zeros((2, width), np.float32) for _ in range(SHARED)]
+    grouped = product.reshape(GROUP, groups)
+    path: list[tuple[int, int]] = []
+    before, again = [], []
     found: list[tuple[int, np.ndarray, bool]] = []
-    size, unboosted = 0, min(how.boosts, default=1) <= 0  # a field without weight: to hold all terms may score nothing
-    lists, counts, all_tokens = asked.tolist(), times.tolist(), n_tokens.tolist()
-    for i in range(n_queries):
-        sums.fill(0)
-        for j in range(begin[i], begin[i + 1]):
-            q, many = lists[j], counts[j]
-            whole = dense.get(q)
-            if whole is not None:
-                for _ in range(many):
-                    np.add(sums, whole, out=sums)
-                continue
-            kept = sparse.get(q)
-            if kept is None:
-                a, b = bounds[q]
-                kept = sparse[q] = (place[a:b], single[a:b], hit[a:b]) if b > a else ()
-            if kept:
-                score[kept[0]] += kept[1] if many == 1 else kept[1] * np.float32(many)
-                matched[kept[0]] += kept[2] if many == 1 else kept[2] * np.float32(many)
-        n = all_tokens[i]
-        every = matched.max() >= n
-        if every:
-            found.append((i, chosen := np.flatnonzero(matched >= n), True))
-            size += len(chosen)
-        if n > 1 and (not every or unboosted):
-            np.multiply(score, matched, out=product)
-            tops = grouped.max(axis=0)
-            if len(rest):
-                tops[0] = max(tops[0], rest.max())
-            least = float(np.partition(tops, groups - how.k)[groups - how.k]) if groups > how.k else 0.0
-            least = least * (1 - 1e-5 - 5e-7 * n) - 4e-9  # what single precision and rounded scores may hide
-            chosen = np.flatnonzero(product >= least) if least > 0 else np.flatnonzero(product > 0)
-            if len(chosen):
-                found.append((i, chosen, False))
-                size += len(chosen)
+    size, unboosted = 0, min(how.boosts) <= 0  # a field without weight: to hold all terms may score nothing
+    for i in turn:
+        own = lists[begin[i] : begin[i + 1]]
+        if own == before:
+            found += [(i, chosen, every) for chosen, every in again]
+            size += sum(len(chosen) for chosen, _ in again)
+        else:
+            before, again = own, []
+            shared, j = min(n_dense[i], SHARED), 0
+            while j < shared and j < len(path) and path[j] == own[j]:
+                j += 1
+            del path[j:]
+            for q, many in own[j:shared]:
+                np.add(levels[j - 1] if j else nothing, dense[q], out=levels[j])
+                for _ in range(many - 1):
+                    np.add(levels[j], dense[q], out=levels[j])
+                path.append((q, many))
+                j += 1
+            now = levels[shared - 1] if shared else nothing
+            if len(own) > shared:
+                np.copyto(sums, now)
+                now = sums
+                score, matched = sums
+                for q, many in own[shared:]:
+                    whole = dense.get(q)
+                    if whole is not None:
+                        for _ in range(many):
+                            np.add(sums, whole, out=sums)
+                        continue
+                    kept = sparse.get(q)
+                    if kept is None:
+                        a, b = bounds[q]
+                        kept = sparse[q] = (t.doc[a:b], single[a:b], hit[a:b]) if b > a else ()
+                    if kept:
+                        score[kept[0]] += kept[1] if many == 1 else kept[1] * np.float32(many)
+                        matched[kept[0]] += kept[2] if many == 1 else kept[2] * np.float32(many)
+            score, matched = now
+            n = all_tokens[i]
+            every = matched.max() >= n
+            if every:
+                again.append((np.flatnonzero(matched >= n), True))
+            if n > 1 and (not every or unboosted):
+                np.multiply(score, matched, out=product)
+                tops = np.maximum.reduce(grouped, axis=0)
+                least = float(np.partition(tops, groups - how.k)[groups - how.k]) if groups > how.k else 0.0
+                least = least * (1 - 1e-5 - 5e-7 * n) - 4e-9  # what single precision and rounded scores may hide
+                if least > 0:
+                    some = np.flatnonzero(tops >= least)
+                    row, column = np.nonzero(grouped[:, some] >= least)
+                    chosen = row * groups + some[column]
+                else:
+                    chosen = np.flatnonzero(product > 0)
+                if len(chosen):
+                    again.append((chosen, False))
+            found += [(i, chosen, every) for chosen, every in again]
+            size += sum(len(chosen) for chosen, _ in again)
         if size >= FLUSH:
             yield _exact(found, block, queries, t, n_tokens, how)
             found, size = [], 0
